@@ -47,8 +47,26 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_SUBSTRING_DEDUP = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, k, hash(w[k : k + 12]) AS h, md5(array_to_string(w[k : k + 12], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+firsts AS (SELECT h, win, min(doc_id) AS least FROM wins GROUP BY h, win HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, k + j AS place
+  FROM (SELECT x.doc_id, x.k, unnest(range(0, 13)) AS j FROM wins x JOIN firsts f ON x.h = f.h AND x.win = f.win AND f.least < x.doc_id)
+),
+places AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM w) ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _SOURCE_MIXING,
     "op5_exact_dedup": _EXACT_DEDUP,
     "op6_decontamination": _DECONTAMINATION,
+    "op10_substring_dedup": _SUBSTRING_DEDUP,
 }
