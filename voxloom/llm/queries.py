@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, substring_dedup
+from . import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup
 from .oracles import ORACLES
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of the documents so that each source's share follows the square root of its size."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -35,6 +39,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
