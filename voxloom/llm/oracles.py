@@ -47,6 +47,20 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# DuckDB has SHA-1 in hexadecimal only; base32 is put together from the bits.
+_WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p),
+b AS (
+  SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, ((i * 5) // 4)::INTEGER + 1, 1))::INTEGER * 16 + ('0x' || coalesce(nullif(substr(hex, ((i * 5) // 4)::INTEGER + 2, 1), ''), '0'))::INTEGER) >> (3 - (i * 5) % 4)::INTEGER) & 31)::INTEGER + 1, 1)) AS letters
+  FROM h
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
 _SUBSTRING_DEDUP = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 wins AS (SELECT doc_id, k, hash(w[k : k + 12]) AS h, md5(array_to_string(w[k : k + 12], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
@@ -68,5 +82,6 @@ ORACLES: dict[str, str] = {
     "op3_source_mixing": _SOURCE_MIXING,
     "op5_exact_dedup": _EXACT_DEDUP,
     "op6_decontamination": _DECONTAMINATION,
+    "op8_warc": _WARC,
     "op10_substring_dedup": _SUBSTRING_DEDUP,
 }

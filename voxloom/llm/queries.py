@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, mixing, near_dedup, quality, substring_dedup, token_counts, warc
 from .oracles import ORACLES
+from .runtime import new_path, written
 
 #: The tokenizer of op7, a file of the installed vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +43,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
+    records = written(warc.read_archives(spark, path).drop("payload"), "records")
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
