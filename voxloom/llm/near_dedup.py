@@ -13,13 +13,13 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .kernels import U64, lower_ascii, mix, pieces, window_hashes, word_hashes, word_spans
-from .runtime import input_bytes, shuffle_partitions, written
+from .runtime import discard, input_bytes, shuffle_partitions, written
 
 #: Values that a sketch retains.
-SKETCH = 96
+SKETCH = 64
 
 #: -ln of the bound on the chance that a pair at the threshold is missed.
-SURENESS = 25.0
+SURENESS = 20.0
 
 #: Members of an inverted list that one block of a comparison holds.
 LIST_BLOCK = 256
@@ -168,33 +168,28 @@ def _prune(sketches: DataFrame, parts: int, k: int, percent: int, m: int, name:
 
 
 def _estimate_passes(k: int, percent: int, m: int) -> Column:
-    """Whether the union's sketch leaves a pair (na, sa, nb, sb) possible; exact for sets that are whole in their sketches."""
+    """Whether the union's sketch leaves a pair (na, ska, nb, skb) possible.
+
+    The sketches hold the upper 31 bits of their values, in order; equal upper
+    bits of different values can only let a pair pass.
+    """
     both = F.array_intersect("ska", "skb")
     least = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     exact = F.size(both) * 100 >= (F.col("na") + F.col("nb") - F.size(both)) * percent
-    return size & F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) >= m)
+    return F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) >= m)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int, m: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, short: DataFrame, sets: DataFrame, k: int, percent: int, m: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the union's sketch filters, the full sets decide."""
-    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sk{x}"))
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(k, percent, m)).select("a", "b", "na", "nb"), f"{name}-likely")
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
+    side = lambda x: short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("short").alias(f"sk{x}"))
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(k, percent, m)).select("a", "b"), f"{name}-likely")
     full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"full{x}"))
     both = F.size(F.array_intersect("fulla", "fullb"))
-    large = likely.filter(~whole).join(full("a"), "a").join(full("b"), "b")
-    exact = large.filter(both * 100 >= (F.size("fulla") + F.size("fullb") - both) * percent)
-    return written(likely.filter(whole).select("a", "b").union(exact.select("a", "b")).distinct(), name)
-
-
-def _relabelled(links: list[DataFrame], name: str) -> DataFrame:
-    """(node, label) over all links so far."""
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    return components(every)
+    exact = likely.join(full("a"), "a").join(full("b"), "b").filter(both * 100 >= (F.size("fulla") + F.size("fullb") - both) * percent)
+    links = written(exact.select("a", "b").distinct(), name)
+    discard(likely)
+    return links
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,14 +208,18 @@ def _distinct_lists(postings: DataFrame) -> DataFrame:
     return postings.join(one, "v", "left_semi")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a list with three of its members: the least id, the greatest, and that of least hash."""
-    hubs = members.groupBy("v").agg(F.min("id").alias("h0"), F.max("id").alias("h1"), F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("h2"))
-    hubs = hubs.select("v", F.array_distinct(F.array("h0", "h1", F.col("h2.id"))).alias("hubs"))
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member of a list with three of its members: the least id, the greatest, and that of least hash.
+
+    Pairs whose sizes rule the similarity out are left out.
+    """
+    hubs = members.groupBy("v").agg(F.min(F.struct("id", "n")).alias("h0"), F.max(F.struct("id", "n")).alias("h1"), F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("h2"))
+    hubs = hubs.select("v", F.array_distinct(F.array("h0", "h1", F.struct(F.col("h2.id").alias("id"), F.col("h2.n").alias("n")))).alias("hubs"))
     return (
         members.join(hubs, "v")
-        .select("id", F.explode("hubs").alias("hub"))
-        .filter("id != hub")
+        .select("id", "n", F.explode("hubs").alias("h"))
+        .select("id", "n", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"))
+        .filter((F.col("id") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
         .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         .distinct()
     )
@@ -296,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Sets that are whole in their sketches are handled exactly.  A pair of
     larger sets at the threshold is missed with a chance below
-    ``exp(-SURENESS)``, about 1e-11, and no value, list or candidate is capped.
+    ``exp(-SURENESS)``, about 2e-9, and no value, list or candidate is capped.
 
     Returns one row per input row: ``id_col``, ``n_shingles``,
     ``component_id`` (least id reachable, itself included), ``kept``.  Rows
@@ -309,21 +308,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     m = least_overlap(sketch, percent / 100)
     blocks = max(parts, -(-input_bytes(docs) // (4 << 20)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = written(rows.mapInArrow(_sketcher(words, sketch), _SKETCHED), "sketches")
+    sketched = written(rows.mapInArrow(_sketcher(words, sketch), _SKETCHED), "sketched")
+    made = written(sketched.select("id", "n", "sa", "sb"), "classes")
     classes = made.filter("n > 0 AND id IS NOT NULL").groupBy("n", "sa", "sb").agg(F.min("id").alias("rep"))
-    first = made.join(classes.select(F.col("n").alias("cn"), F.col("sa").alias("ca"), F.col("sb").alias("cb"), "rep"), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("sa") == F.col("ca")) & (F.col("sb") == F.col("cb")), "left_semi")
-    alive = first.select("id", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "sketch")
-    for turn in range(2):
-        alive = _prune(alive, parts, sketch, percent, m, f"alive{turn}")
-    postings = written(_distinct_lists(alive.select("id", F.explode("prefix").alias("v"))), "postings")
-    full_sketch = written(first.select("id", "n", "sketch").join(alive.select("id"), "id", "left_semi"), "alive-sketches")
+    named = classes.select(F.col("n").alias("cn"), F.col("sa").alias("ca"), F.col("sb").alias("cb"), "rep")
+    same = (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("sa") == F.col("ca")) & (F.col("sb") == F.col("cb"))
+    first = written(sketched.join(named, same, "left_semi").select("id", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "sketch"), "first")
+    discard(sketched)
+    once = _prune(first, parts, sketch, percent, m, "alive0")
+    alive = _prune(once, parts, sketch, percent, m, "alive1")
+    whole_sketch = first.join(alive.select("id"), "id", "left_semi")
+    short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    shorts = written(whole_sketch.select("id", "n", short.alias("short")), "short")
+    small = first.filter(F.col("n") <= sketch).join(alive.filter(F.col("n") <= sketch).select("id"), "id", "left_semi").select("id", F.col("sketch").alias("shingles"))
     large = alive.filter(F.col("n") > sketch).select("id")
-    small = full_sketch.filter(F.col("n") <= sketch).select("id", F.col("sketch").alias("shingles"))
     sets = written(rows.join(large, "id", "left_semi").mapInArrow(_full(words), "id long, shingles array<long>").union(small), "sets")
-    links = [_verified(_stars(postings), full_sketch, sets, sketch, percent, m, "links0")]
-    labels = components(links[0])
-    members = written(_distinct_lists(_labelled(postings, labels).select("v", "id")).join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("label", "id").alias("label")), "open-lists")
-    more = _verified(_outsider_pairs(members, alive, sketch, percent, m), full_sketch, sets, sketch, percent, m, "links1")
+    discard(first, once)
+    postings = written(_distinct_lists(alive.select("id", "n", F.explode("prefix").alias("v"))), "postings")
+    links = _verified(_stars(postings, percent), shorts, sets, sketch, percent, m, "links0")
+    labels = components(links)
+    unfinished = _distinct_lists(_labelled(postings, labels).select("v", "id"))
+    members = written(unfinished.join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("label", "id").alias("label")), "open-lists")
+    more = _verified(_outsider_pairs(members, alive, sketch, percent, m), shorts, sets, sketch, percent, m, "links1")
+    discard(sets, shorts, alive, postings, members)
     lifted = (
         more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
         .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
