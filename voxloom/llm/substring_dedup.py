@@ -19,7 +19,9 @@ BLOCK_BYTES = 4 << 20
 
 _LAST = np.iinfo(np.int64).max
 
-_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("block", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+#: What a block sends at the last level, and at the others: twice its number, plus 1 if two of its documents hold the anchor.
+_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+_SEEN = T.StructType([T.StructField("h", T.LongType()), T.StructField("code", T.LongType())])
 
 
 def levels(window: int, base: int = BASE) -> list[int]:
@@ -74,14 +76,18 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.repeat(place, np.diff(np.r_[edge, len(values)]))
 
 
-def _known(reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _known(reply: pa.Table) -> np.ndarray:
+    return np.sort(reply.column("h").to_numpy().view(np.uint64))
+
+
+def _known_with_least(reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     h = reply.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
     return h[order], reply.column("lo").to_numpy()[order]
 
 
 def _level(table: pa.Table, block: int, window: int, before: tuple[int, np.ndarray] | None, length: int) -> pa.Table:
-    """The anchors of ``length`` words of the windows that are still candidates, each once, with the least and greatest id."""
+    """The anchors of ``length`` words of the windows that are still candidates, each once (``_SEEN``, at the last level ``_FOUND``)."""
     docs = _Block(table, window)
     hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, _, _, _, _, _, words, at, owner in docs.pieces():
@@ -99,7 +105,9 @@ def _level(table: pa.Table, block: int, window: int, before: tuple[int, np.ndarr
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     lo = np.minimum.reduceat(owner, first) if len(h) else owner
     hi = np.maximum.reduceat(owner, first) if len(h) else owner
-    return pa.table({"h": h[first].view(np.int64), "block": np.full(len(first), block, np.int64), "lo": lo, "hi": hi})
+    if length == window:
+        return pa.table({"h": h[first].view(np.int64), "lo": lo, "hi": hi})
+    return pa.table({"h": h[first].view(np.int64), "code": 2 * block + (lo < hi)})
 
 
 def _cut(table: pa.Table, window: int, known: np.ndarray, least: np.ndarray) -> pa.Table:
@@ -165,32 +173,34 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).alias("block")
     ).repartition(parts, "block")
 
-    def asked(found: DataFrame) -> DataFrame:
-        """Per block the anchors that two documents hold, with their least id, where the block has a greater id."""
-        same = Window.partitionBy("h")
-        return (
-            found.repartition(parts, "h")
-            .select("h", "block", "hi", F.min("lo").over(same).alias("least"), F.max("hi").over(same).alias("most"))
-            .filter(F.col("least") < F.col("most"))
-        )
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    same = Window.partitionBy("h")
+
+    def repeated(found: DataFrame) -> DataFrame:
+        """Per block its anchors that two documents hold; a document is in one block only."""
+        told = found.repartition(parts, "h").select("h", "code", F.count(F.lit(1)).over(same).alias("n"), F.max(F.col("code") % 2).over(same).alias("twice"))
+        return told.filter("n > 1 OR twice = 1").select(F.shiftright("code", 1).alias("block"), "h")
+
+    def removable(found: DataFrame) -> DataFrame:
+        """Per block its windows that a smaller id than one of its own holds, with the least id."""
+        told = found.repartition(parts, "h").select("h", "lo", "hi", F.min("lo").over(same).alias("least"))
+        return told.filter("least < hi").select(F.when(F.col("lo") == _LAST, F.lit(None)).otherwise(F.col("lo")).alias("lo_id"), "h", F.col("least").alias("lo")).select(block_of("lo_id").alias("block"), "h", "lo")
 
     def first_level(length: int):
         return lambda key, t: _level(t, key[0].as_py(), window, None, length)
 
     def next_level(done: int, length: int):
-        return lambda key, t, r: _level(t, key[0].as_py(), window, (done, _known(r)[0]), length)
+        return lambda key, t, r: _level(t, key[0].as_py(), window, (done, _known(r)), length)
 
     reply = None
     done = 0
     for length in levels(window, base):
+        kind = _FOUND if length == window else _SEEN
         if reply is None:
-            found = dealt.groupBy("block").applyInArrow(first_level(length), _FOUND)
+            found = dealt.groupBy("block").applyInArrow(first_level(length), kind)
         else:
-            found = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(next_level(done, length), _FOUND)
-        wanted = asked(found)
-        if length == window:
-            wanted = wanted.filter(F.col("least") < F.col("hi"))
-        reply = wanted.select("block", "h", F.col("least").alias("lo"))
+            found = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(next_level(done, length), kind)
+        reply = removable(found) if length == window else repeated(found)
         done = length
     out = T.StructType(
         [
@@ -201,5 +211,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             T.StructField("kept_text", T.StringType()),
         ]
     )
-    cut = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lambda t, r: _cut(t, window, *_known(r)), out)
+    cut = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lambda t, r: _cut(t, window, *_known_with_least(r)), out)
     return cut.withColumnRenamed("id", id_col)
