@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, substring_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, warc
 from .oracles import ORACLES
 from .runtime import new_path, written
 
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of the documents as files ``source/lang/doc_id.txt``."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "path", F.array_join("declared", ",").alias("declared"), "score", F.array_join("licenses", ",").alias("licenses"), "inherited_from")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -64,6 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_near_dedup": op2_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_html_text": op4_html_text,
