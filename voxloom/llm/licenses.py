@@ -52,7 +52,7 @@ class Scanner:
         self.unknown = math.log(1 + n) + 1
         self.vectors = []
         for c in counts:
-            v = {w: k * self.idf[w] for w, k in c.items()}
+            v = {w: (1 + math.log(k)) * self.idf[w] for w, k in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({w: x / norm for w, x in v.items()})
         self.longest = max((sum(c.values()) for c in counts), default=0)
@@ -67,7 +67,7 @@ class Scanner:
         """
         chosen: set[str] = set()
         for v in self.vectors:
-            rest = [(w in _FUNCTION_WORDS or len(w) < 5, -x, w) for w, x in v.items() if w not in chosen]
+            rest = [((w in _FUNCTION_WORDS) + (len(w) < 5), -x, w) for w, x in v.items() if w not in chosen]
             left = sum(x * x for _, x, _ in rest)
             for _, x, w in sorted(rest):
                 if left < self.threshold**2 * 0.999:
@@ -81,7 +81,7 @@ class Scanner:
 
     def cosines(self, words: list[str]) -> list[float]:
         counts = Counter(words)
-        weights = {w: k * self.idf.get(w, self.unknown) for w, k in counts.items()}
+        weights = {w: (1 + math.log(k)) * self.idf.get(w, self.unknown) for w, k in counts.items()}
         norm = math.sqrt(sum(x * x for x in weights.values()))
         if not norm:
             return [0.0] * len(self.names)
