@@ -21,7 +21,16 @@ SKETCH = 64
 #: -ln of the bound on the chance that a pair at the threshold is missed.
 SURENESS = 20.0
 
-#: Members of an inverted list that one block of a comparison holds.
+#: Values of the longer sketches that filter pairs before full sets are fetched.
+LONG_SKETCH = 256
+
+#: Rounds in which a list's members are compared with one of its members only.
+STAR_ROUNDS = 3
+
+#: Members up to which a list that is still open is compared member by member.
+SHORT_LIST = 64
+
+#: Members of a long list that one block of a comparison holds.
 LIST_BLOCK = 256
 
 
@@ -167,12 +176,13 @@ def _prune(sketches: DataFrame, parts: int, k: int, percent: int, m: int, name:
     return written(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_survivors(k, percent, m), _ALIVE), name)
 
 
-def _estimate_passes(k: int, percent: int, m: int) -> Column:
+def _estimate_passes(percent: int) -> Column:
     """Whether the union's sketch leaves a pair (na, ska, nb, skb) possible.
 
     The sketches hold the upper 31 bits of their values, in order; equal upper
     bits of different values can only let a pair pass.
     """
+    k, m = LONG_SKETCH, least_overlap(LONG_SKETCH, percent / 100)
     both = F.array_intersect("ska", "skb")
     least = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
@@ -180,10 +190,11 @@ def _estimate_passes(k: int, percent: int, m: int) -> Column:
     return F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) >= m)
 
 
-def _verified(pairs: DataFrame, short: DataFrame, sets: DataFrame, k: int, percent: int, m: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the union's sketch filters, the full sets decide."""
-    side = lambda x: short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("short").alias(f"sk{x}"))
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(k, percent, m)).select("a", "b"), f"{name}-likely")
+    short = F.transform(F.slice("shingles", 1, LONG_SKETCH), lambda v: F.shiftright(v, 32).cast("int"))
+    side = lambda x: sets.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), short.alias(f"sk{x}"))
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(percent)).select("a", "b"), f"{name}-likely")
     full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"full{x}"))
     both = F.size(F.array_intersect("fulla", "fullb"))
     exact = likely.join(full("a"), "a").join(full("b"), "b").filter(both * 100 >= (F.size("fulla") + F.size("fullb") - both) * percent)
@@ -192,37 +203,39 @@ def _verified(pairs: DataFrame, short: DataFrame, sets: DataFrame, k: int, perce
     return links
 
 
-def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of lists that hold more than one component: (v, id, label)."""
-    named = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("label", "id").alias("label"))
-    open_lists = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
-    return named.join(open_lists, "v", "left_semi")
+def _all(links: list[DataFrame]) -> DataFrame:
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return every
 
 
-def _distinct_lists(postings: DataFrame) -> DataFrame:
-    """Of lists with the same members one (64-bit sums of two hashes tell members apart)."""
-    lists = postings.groupBy("v").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").bitwiseAND(0xFFFFFFFFFF)).alias("s1"), F.sum(F.xxhash64("id", F.lit(7)).bitwiseAND(0xFFFFFFFFFF)).alias("s2")
-    )
-    one = lists.filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("v").alias("v")).select("v")
-    return postings.join(one, "v", "left_semi")
+def _open_lists(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(v, id, n, label) of the lists that hold more than one component, one of those with the same members."""
+    if labels is None:
+        named = postings.select("v", "id", "n", F.col("id").alias("label"))
+    else:
+        named = postings.select("v", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("label", "id").alias("label"))
+    low = lambda *c: F.xxhash64(*c).bitwiseAND(0xFFFFFFFFFF)
+    lists = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(low("id")).alias("s1"), F.sum(low("id", F.lit(7))).alias("s2"))
+    one = lists.filter("lo < hi").groupBy("members", "s1", "s2").agg(F.min("v").alias("v")).select("v")
+    return named.join(one, "v", "left_semi")
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each member of a list with three of its members: the least id, the greatest, and that of least hash.
+def _alike(percent: int) -> Column:
+    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
-    Pairs whose sizes rule the similarity out are left out.
-    """
-    hubs = members.groupBy("v").agg(F.min(F.struct("id", "n")).alias("h0"), F.max(F.struct("id", "n")).alias("h1"), F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("h2"))
-    hubs = hubs.select("v", F.array_distinct(F.array("h0", "h1", F.struct(F.col("h2.id").alias("id"), F.col("h2.n").alias("n")))).alias("hubs"))
-    return (
-        members.join(hubs, "v")
-        .select("id", "n", F.explode("hubs").alias("h"))
-        .select("id", "n", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"))
-        .filter((F.col("id") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent))
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        .distinct()
-    )
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _stars(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each member of a list with one hub of another component: the least id at first, then the member of least hash."""
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    hubs = members.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "n", "label")).alias("h"))
+    hubs = hubs.select("v", F.col("h.id").alias("other"), F.col("h.n").alias("m"), F.col("h.label").alias("theirs"))
+    return _pairs(members.join(hubs, "v").filter((F.col("label") != F.col("theirs")) & _alike(percent)))
 
 
 def _block_pairs(k: int, percent: int, m: int):
@@ -257,22 +270,37 @@ def _block_pairs(k: int, percent: int, m: int):
 
 
 def _outsider_pairs(members: DataFrame, sketches: DataFrame, k: int, percent: int, m: int) -> DataFrame:
-    """Pairs across components in lists that hold several, found block by block.
+    """All pairs across components in the lists that still hold several.
 
     In a list all but the largest component are outsiders; each of them must
-    still be compared with every member of another component.  Outsiders and
-    members are dealt into blocks of about ``LIST_BLOCK`` and every pair of
-    blocks is one bounded task that returns only pairs whose sketches pass.
+    still be compared with every member of another component.  In lists of at
+    most ``SHORT_LIST`` members these pairs are made by a join.  Components
+    that meet in longer lists form clusters; a cluster's outsiders and members
+    are dealt into blocks of about ``LIST_BLOCK``, every pair of blocks is one
+    bounded task, and each pair of a cluster is looked at once however many
+    lists share it.  Only pairs whose sketches pass leave a task.
     """
-    sizes = members.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy("v").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
-    lists = lists.select("v", F.col("main.label").alias("main"), F.ceil(F.col("all") / LIST_BLOCK).alias("cols"), F.ceil((F.col("all") - F.col("main.n")) / LIST_BLOCK).alias("rows"))
-    told = members.join(lists, "v").withColumn("outside", F.col("label") != F.col("main"))
+    sizes = members.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all")).select("v", F.col("main.label").alias("main"), "all")
+    told = written(members.join(lists, "v"), "told")
+    short = told.filter(F.col("all") <= SHORT_LIST)
+    theirs = short.select("v", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("theirs"))
+    few = _pairs(short.filter("label <> main").join(theirs, "v").filter((F.col("label") != F.col("theirs")) & _alike(percent)))
+    long = told.filter(F.col("all") > SHORT_LIST)
+    if not long.limit(1).count():
+        return few
+    clusters = components(long.filter("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    docs = long.select("id", "n", "label").distinct().join(clusters, "label")
+    within = docs.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
+    within = within.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("all") / LIST_BLOCK).alias("cols"), F.ceil((F.col("all") - F.col("main.c")) / LIST_BLOCK).alias("rows"))
+    placed = docs.join(within, "cluster").withColumn("outside", F.col("label") != F.col("main"))
     h = F.xxhash64("id")
-    as_row = told.filter("outside").select("v", "id", "label", F.lit(True).alias("outsider"), F.pmod(h, "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"))
-    as_col = told.select("v", "id", "label", F.lit(False).alias("outsider"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(h, "cols").alias("j"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    as_row = placed.filter("outside").select("cluster", "id", "label", F.lit(True).alias("outsider"), F.pmod(h, "rows").alias("i"), upto("cols").alias("j"))
+    as_col = placed.select("cluster", "id", "label", F.lit(False).alias("outsider"), upto("rows").alias("i"), F.pmod(h, "cols").alias("j"))
     loaded = as_row.union(as_col).join(sketches.select("id", "n", "sketch"), "id")
-    return loaded.groupBy("v", "i", "j").applyInArrow(_block_pairs(k, percent, m), "a long, b long").distinct()
+    many = loaded.groupBy("cluster", "i", "j").applyInArrow(_block_pairs(k, percent, m), "a long, b long")
+    return few.union(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -287,11 +315,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        of equal sets become one class at once.
     2. Inverted lists hold the retained values of sets of which enough values
        occur elsewhere, and only their rarest prefix (see ``_prune``).
-    3. Members of a list are paired with three of its members, not with each
+    3. Members of a list are paired with one of its members, not with each
        other.  The sketch of the union filters the pairs, the full sets decide.
-    4. A list whose members are now in one component is finished: no pair in it
-       can change the result.  In the others every member outside the largest
-       component is compared with all members of other components, in blocks.
+       A list whose members are now in one component is finished: no pair in it
+       can change the result.  The others go through more such rounds.
+    4. In the lists that stay open every member outside the largest component
+       is compared with all members of other components, long lists in blocks.
 
     Sets that are whole in their sketches are handled exactly.  A pair of
     larger sets at the threshold is missed with a chance below
@@ -317,32 +346,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(sketched)
     once = _prune(first, parts, sketch, percent, m, "alive0")
     alive = _prune(once, parts, sketch, percent, m, "alive1")
-    whole_sketch = first.join(alive.select("id"), "id", "left_semi")
-    short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
-    shorts = written(whole_sketch.select("id", "n", short.alias("short")), "short")
     small = first.filter(F.col("n") <= sketch).join(alive.filter(F.col("n") <= sketch).select("id"), "id", "left_semi").select("id", F.col("sketch").alias("shingles"))
     large = alive.filter(F.col("n") > sketch).select("id")
     sets = written(rows.join(large, "id", "left_semi").mapInArrow(_full(words), "id long, shingles array<long>").union(small), "sets")
     discard(first, once)
-    postings = written(_distinct_lists(alive.select("id", "n", F.explode("prefix").alias("v"))), "postings")
-    links = _verified(_stars(postings, percent), shorts, sets, sketch, percent, m, "links0")
-    labels = components(links)
-    unfinished = _distinct_lists(_labelled(postings, labels).select("v", "id"))
-    members = written(unfinished.join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("label", "id").alias("label")), "open-lists")
-    more = _verified(_outsider_pairs(members, alive, sketch, percent, m), shorts, sets, sketch, percent, m, "links1")
-    discard(sets, shorts, alive, postings, members)
-    lifted = (
-        more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    )
-    over = components(lifted)
-    final = (
-        labels.select("node", "label").union(over.select("node", F.col("node").alias("label")))
-        .groupBy("node").agg(F.min("label").alias("label"))
-        .join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        .select("node", F.coalesce("top", "label").alias("label"))
-    )
+    postings = written(alive.select("id", "n", F.explode("prefix").alias("v")), "postings")
+    found: list[DataFrame] = []
+    labels = None
+    for turn in range(STAR_ROUNDS):
+        members = written(_open_lists(postings, labels), "open-lists")
+        found.append(_verified(_stars(members, percent, turn), sets, percent, f"links{turn}"))
+        discard(members)
+        labels = components(_all(found))
+    members = written(_open_lists(postings, labels), "open-lists")
+    found.append(_verified(_outsider_pairs(members, alive, sketch, percent, m), sets, percent, "links"))
+    discard(sets, alive, postings, members)
+    final = components(_all(found))
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component"))
     named = made.select("id", "n", "sa", "sb").join(of_class, ["n", "sa", "sb"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
