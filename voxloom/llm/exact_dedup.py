@@ -63,5 +63,6 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Rows that repeat an id with equal text are one document and stay together.
     """
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi")
