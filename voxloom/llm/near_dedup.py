@@ -31,7 +31,7 @@ STAR_ROUNDS = 3
 SHORT_LIST = 64
 
 #: Members of a long list that one block of a comparison holds.
-LIST_BLOCK = 256
+LIST_BLOCK = 512
 
 
 def least_overlap(k: int, similarity: float, sureness: float = SURENESS) -> int:
@@ -238,47 +238,59 @@ def _stars(members: DataFrame, percent: int, turn: int) -> DataFrame:
     return _pairs(members.join(hubs, "v").filter((F.col("label") != F.col("theirs")) & _alike(percent)))
 
 
-def _block_pairs(k: int, percent: int, m: int):
-    """All pairs of an outsider and a member of another component in one block, filtered by their sketches."""
+def _block_links(percent: int):
+    """Links between a block's outsiders and its members of other components, decided on the full sets.
 
-    def compare(table):
-        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+    Of an outsider's links to one component one is returned: it joins them.
+    """
+
+    def links(table):
+        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
         out = table.column("outsider").to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(out), np.flatnonzero(~out)
-        found: list[np.ndarray] = []
+        a = b = np.zeros(0, np.int64)
         if len(left) and len(right):
-            values, row = _flat(table, "sketch")
+            values, row = _flat(table, "shingles")
+            size = np.bincount(row, minlength=len(ids))
             _, code = np.unique(values, return_inverse=True)
-            width = int(code.max()) + 1
+            of_left = out[row]
+            width = int(code.max()) + 1 if len(code) else 0
+            both = (np.bincount(code[of_left], minlength=width) > 0) & (np.bincount(code[~of_left], minlength=width) > 0)
+            keep = both[code]
+            column = (np.cumsum(both) - 1)[code[keep]]
+            row, of_left = row[keep], of_left[keep]
             place = np.empty(len(ids), np.int64)
-            place[right] = np.arange(len(right))
-            dense = np.zeros((len(right), width), np.float32)
-            of_right = ~out[row]
-            dense[place[row[of_right]], code[of_right]] = 1
-            place[left] = np.arange(len(left))
-            queries = np.zeros((len(left), width), np.float32)
-            queries[place[row[~of_right]], code[~of_right]] = 1
-            shared = queries @ dense.T
-            na, nb = n[left][:, None], n[right][None, :]
-            enough = (shared >= np.minimum(_needed(n[left], k, percent, m)[:, None], _needed(n[right], k, percent, m)[None, :])) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
-            i, j = np.nonzero(enough & (label[left][:, None] != label[right][None, :]))
-            found = [np.minimum(ids[left][i], ids[right][j]), np.maximum(ids[left][i], ids[right][j])]
-        a, b = found or (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return compare
-
-
-def _outsider_pairs(members: DataFrame, sketches: DataFrame, k: int, percent: int, m: int) -> DataFrame:
-    """All pairs across components in the lists that still hold several.
+            place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+            shared = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(column, kind="stable")
+            column, row, of_left = column[order], row[order], of_left[order]
+            for first in range(0, int(both.sum()), 4096):  # bounds the dense matrices
+                part = slice(*np.searchsorted(column, [first, first + 4096]))
+                c, r, o = column[part] - first, place[row[part]], of_left[part]
+                x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+                x[r[o], c[o]] = 1
+                y[r[~o], c[~o]] = 1
+                shared += x @ y.T
+            union = size[left][:, None] + size[right][None, :] - shared
+            i, j = np.nonzero((100 * shared >= percent * union) & (label[left][:, None] != label[right][None, :]))
+            _, one = np.unique(np.stack([i, label[right][j]]), axis=1, return_index=True)
+            a, b = ids[left][i[one]], ids[right][j[one]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return links
+
+
+def _last_links(members: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """What links components in the lists that still hold several.
 
     In a list all but the largest component are outsiders; each of them must
     still be compared with every member of another component.  In lists of at
-    most ``SHORT_LIST`` members these pairs are made by a join.  Components
-    that meet in longer lists form clusters; a cluster's outsiders and members
-    are dealt into blocks of about ``LIST_BLOCK``, every pair of blocks is one
-    bounded task, and each pair of a cluster is looked at once however many
-    lists share it.  Only pairs whose sketches pass leave a task.
+    most ``SHORT_LIST`` members these pairs are made by a join and verified as
+    before.  Components that meet in longer lists form clusters; a cluster's
+    outsiders and members are dealt into blocks of about ``LIST_BLOCK`` with
+    their full sets, and every pair of blocks is one bounded task.  So a pair
+    is looked at once however many lists share it, and what leaves a task is
+    at most one link for an outsider and a component.
     """
     sizes = members.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all")).select("v", F.col("main.label").alias("main"), "all")
@@ -287,8 +299,9 @@ def _outsider_pairs(members: DataFrame, sketches: DataFrame, k: int, percent: in
     theirs = short.select("v", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("theirs"))
     few = _pairs(short.filter("label <> main").join(theirs, "v").filter((F.col("label") != F.col("theirs")) & _alike(percent)))
     long = told.filter(F.col("all") > SHORT_LIST)
+    links = [_verified(few, sets, percent, "links-short")]
     if not long.limit(1).count():
-        return few
+        return links
     clusters = components(long.filter("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     docs = long.select("id", "n", "label").distinct().join(clusters, "label")
     within = docs.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
@@ -298,9 +311,9 @@ def _outsider_pairs(members: DataFrame, sketches: DataFrame, k: int, percent: in
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     as_row = placed.filter("outside").select("cluster", "id", "label", F.lit(True).alias("outsider"), F.pmod(h, "rows").alias("i"), upto("cols").alias("j"))
     as_col = placed.select("cluster", "id", "label", F.lit(False).alias("outsider"), upto("rows").alias("i"), F.pmod(h, "cols").alias("j"))
-    loaded = as_row.union(as_col).join(sketches.select("id", "n", "sketch"), "id")
-    many = loaded.groupBy("cluster", "i", "j").applyInArrow(_block_pairs(k, percent, m), "a long, b long")
-    return few.union(many).distinct()
+    loaded = as_row.union(as_col).join(sets, "id").select("cluster", "i", "j", "id", "label", "outsider", "shingles")
+    links.append(written(loaded.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "links-long"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -359,7 +372,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         discard(members)
         labels = components(_all(found))
     members = written(_open_lists(postings, labels), "open-lists")
-    found.append(_verified(_outsider_pairs(members, alive, sketch, percent, m), sets, percent, "links"))
+    found += _last_links(members, sets, percent)
     discard(sets, alive, postings, members)
     final = components(_all(found))
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component"))
