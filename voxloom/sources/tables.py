@@ -66,7 +66,7 @@ def write_masks(mask: DataFrame, path: str) -> None:
 
 def norm_bounds(spark: SparkSession, path: str) -> tuple[float, float]:
     """Least and greatest intensity from a normalisation file; fails unless the second is larger."""
-    row = spark.read.option("wholetext", True).text(path).select(*(F.regexp_extract("value", rf"(?m)^Global hist {k}:\s*(.+?)\s*$", 1).try_cast("double").alias(k) for k in ("min", "max"))).first()
+    row = spark.read.text(path, wholetext=True).select(*(F.regexp_extract("value", rf"(?m)^Global hist {k}:\s*(.+?)\s*$", 1).try_cast("double").alias(k) for k in ("min", "max"))).first()
     if row is None or row["min"] is None or row["max"] is None or row["max"] <= row["min"]:
         raise ValueError("no valid bounds")
     return row["min"], row["max"]
