@@ -94,3 +94,63 @@ def folder_problem(facts: DataFrame) -> DataFrame:
         .when(F.col("tifs") == 0, "no_tiff_files").when(F.col("duplicate_names"), "duplicate_timepoint_names").when(F.col("shapes") > 1, "shape_mismatch")
     )
     return facts.withColumn("reason", reason)
+
+
+def safe_members(members: DataFrame, path: str = "path") -> DataFrame:
+    """Archive members that stay inside: neither absolute nor with a step upwards."""
+    parts = F.split(F.regexp_replace(path, r"\\", "/"), "/")
+    return members.filter(~F.col(path).rlike(r"^([/\\]|[A-Za-z]:)") & ~F.exists(parts, lambda p: p == "..") & (F.trim(path) != ""))
+
+
+def models_of(keys: DataFrame, key: str = "key") -> DataFrame:
+    """The distinct directories right above the objects of a listing."""
+    parts = F.split(key, "/")
+    return keys.select(F.try_element_at(parts, F.lit(-2)).alias("model")).filter("model IS NOT NULL AND model <> ''").distinct()
+
+
+def from_manifest(texts: DataFrame, text: str = "value") -> DataFrame:
+    """(name, size) of JSON manifests {"models": [{"name", "size"}]}; fails on a name that is listed twice."""
+    rows = texts.select(F.explode(F.from_json(text, "models array<struct<name: string, size: bigint>>")["models"]).alias("m")).select("m.name", "m.size").filter("name IS NOT NULL")
+    one = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    return one.select(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("listed twice: "), F.col("name")))).otherwise(F.col("name")).alias("name"), "size")
+
+
+def gpu_rows(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(index, name, used, total) of comma-separated GPU lines; lines with other fields are passed over."""
+    p = F.transform(F.split(line, ","), lambda x: F.trim(x))
+    told = lines.select(p.alias("p")).filter(F.size("p") >= 4).select(F.col("p")[0].try_cast("int").alias("index"), F.col("p")[1].alias("name"), F.col("p")[2].try_cast("int").alias("used"), F.col("p")[3].try_cast("int").alias("total"))
+    return told.filter("index IS NOT NULL AND used IS NOT NULL AND total IS NOT NULL")
+
+
+def merged(settings: DataFrame) -> DataFrame:
+    """(key, value) of settings from several layers; the highest layer that names a key wins. settings: layer, key, value."""
+    return settings.groupBy("key").agg(F.max_by("value", "layer").alias("value"))
+
+
+def file_slice(files: DataFrame, start: int, end: int) -> DataFrame:
+    """Files start .. end - 1 in natural order."""
+    from .tracks import numbered
+
+    ordered = numbered(files.select("name", S.natural_key(F.col("name")).alias("_k")), ["_k", "name"], "n")
+    return ordered.filter(F.col("n").between(start + 1, end)).select("name", (F.col("n") - 1).alias("n"))
+
+
+def expanded(folders: DataFrame) -> DataFrame:
+    """Each path's children, or the path itself without any. folders: path, children."""
+    return folders.select(F.explode(F.when(F.size("children") > 0, F.col("children")).otherwise(F.array("path"))).alias("path"))
+
+
+def chosen(wanted: DataFrame, existing: DataFrame, mode: str) -> DataFrame:
+    """What to do with each wanted dataset: create, or for existing ones what ``mode`` says (skip, overwrite or ask)."""
+    have = existing.select(F.col("name").alias("_have")).distinct()
+    return wanted.select("name").distinct().join(have, F.col("name") == F.col("_have"), "left").select("name", F.when(F.col("_have").isNull(), "create").otherwise(mode).alias("action"))
+
+
+def norm_problem(rows: DataFrame) -> DataFrame:
+    """Why a normalisation request is invalid; null if it isn't. rows: mode, low, high."""
+    both, none = F.col("low").isNotNull() & F.col("high").isNotNull(), F.col("low").isNull() & F.col("high").isNull()
+    reason = (
+        F.when(~F.col("mode").isin("per_volume", "global_auto", "manual") | F.col("mode").isNull(), "unknown_mode")
+        .when((F.col("mode") != "manual") & ~none, "bounds_not_allowed").when((F.col("mode") == "manual") & ~both, "bounds_missing").when((F.col("mode") == "manual") & (F.col("high") <= F.col("low")), "bounds_order")
+    )
+    return rows.withColumn("reason", reason)

@@ -147,3 +147,46 @@ def page_grid(df: DataFrame, order: list[str], cells: int = 36) -> DataFrame:
     """``page`` and ``cell`` of each row, ``cells`` to a page in the given order within its time point."""
     n = F.row_number().over(Window.partitionBy("tp").orderBy(*order)) - 1
     return df.withColumn("page", (n / cells).cast("int")).withColumn("cell", (n % cells).cast("int"))
+
+
+def flip(df: DataFrame, axis: str, size: int) -> DataFrame:
+    return df.withColumn(axis, (F.lit(size - 1) - F.col(axis)).cast("int"))
+
+
+def rot90(df: DataFrame, width: int) -> DataFrame:
+    """A quarter turn in the (y, x) plane."""
+    return df.withColumn("_y", (F.lit(width - 1) - F.col("x")).cast("int")).withColumn("x", F.col("y")).withColumn("y", F.col("_y")).drop("_y")
+
+
+def ball(radius: int) -> list[tuple[int, int, int]]:
+    span = range(-radius, radius + 1)
+    return [(a, b, c) for a in span for b in span for c in span if a * a + b * b + c * c <= radius * radius]
+
+
+def _over(df: DataFrame, radius: int, how) -> DataFrame:
+    """The extreme of the voxels that exist within a ball around each voxel of ``df``."""
+    taps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ball(radius)))
+    seen = df.select("tp", "v", F.explode(taps).alias("o"), "z", "y", "x").select("tp", "v", *((F.col(k) + F.col(f"o.{o}")).alias(k) for k, o in zip("zyx", "abc")))
+    return seen.groupBy("tp", "z", "y", "x").agg(how("v").alias("v")).join(df.select("tp", "z", "y", "x"), ["tp", "z", "y", "x"], "left_semi")
+
+
+def opening(df: DataFrame, radius: int) -> DataFrame:
+    """Grey opening by a ball: the least, then the greatest value around each voxel."""
+    return _over(_over(df, radius, F.min), radius, F.max)
+
+
+def patchify(df: DataFrame, p: int) -> DataFrame:
+    """(tp, pz, py, px, values): voxels of each cubic patch in raster order."""
+    parts = df.select("tp", *(F.floor(F.col(a) / p).cast("int").alias(f"p{a}") for a in "zyx"), F.struct("z", "y", "x", "v").alias("s"))
+    return parts.groupBy("tp", "pz", "py", "px").agg(F.array_sort(F.collect_list("s")).alias("s")).select("tp", "pz", "py", "px", F.col("s.v").alias("values"))
+
+
+def foreground(mask: DataFrame) -> DataFrame:
+    """The mask with ``is_fg``: any label but the least of its time point."""
+    least = mask.groupBy(F.col("tp").alias("_tp")).agg(F.min("label").alias("_least"))
+    return mask.join(least, F.col("tp") == F.col("_tp")).withColumn("is_fg", F.col("label") != F.col("_least")).drop("_tp", "_least")
+
+
+def common_shape(shapes: DataFrame, patch: int) -> DataFrame:
+    """The least extent of each axis, cut to whole patches. shapes: z, y, x."""
+    return shapes.agg(*((F.floor(F.min(a) / patch) * patch).cast("int").alias(a) for a in "zyx"))

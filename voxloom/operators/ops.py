@@ -62,3 +62,19 @@ def log_tail(lines: DataFrame, most: int = 200) -> DataFrame:
     total = lines.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
     tail = lines.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= most)
     return tail.join(total, "job_id").select("job_id", "seq", "line", "total", (F.col("total") > most).alias("truncated"))
+
+
+def iteration_times(events: DataFrame, key: str, order: str, every: int) -> DataFrame:
+    """Seconds between the iterations of each key, at every ``every``-th one and the last. events: key, order (ms), iteration."""
+    w = Window.partitionBy(key).orderBy("iteration")
+    last = F.max("iteration").over(Window.partitionBy(key))
+    told = events.withColumn("seconds", (F.col(order) - F.lag(order).over(w)) / 1000.0).withColumn("_last", last)
+    return told.filter((F.col("iteration") % every == 0) | (F.col("iteration") == F.col("_last"))).select(key, "iteration", "seconds")
+
+
+def total_loss(terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The weighted sum of each step's terms; missing ones count as zero. terms: step, name, value."""
+    w = F.lit(0.0)
+    for name, weight in sorted(weights.items()):
+        w = F.when(F.col("name") == name, weight).otherwise(w)
+    return terms.groupBy("step").agg(F.sum(F.coalesce("value", F.lit(0.0)) * w).alias("loss"))

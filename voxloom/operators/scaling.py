@@ -71,3 +71,23 @@ def mean_std(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
 def percentile_band(df: DataFrame, keys: list[str], value: str = "v", low: float = 0.9975, high: float = 0.999) -> DataFrame:
     """Rows strictly between two percentiles of their group."""
     return _beside(df, keys, F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi")).filter((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_lo", "_hi")
+
+
+def contrast_clip(df: DataFrame, keys: list[str], value: str = "v", bins: int = 256, high: float = 255.0, cut: int = CUT) -> DataFrame:
+    """``clipped``: 0..1 between the first and last well-filled bin of the group, cut off outside."""
+    b = count_bounds(df, keys, value, bins, 0.0, high, cut).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    told = df.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    scaled = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(2.0**-23))
+    return told.withColumn("clipped", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop(*(f"_{k}" for k in keys), "_lo", "_hi")
+
+
+def softmax(df: DataFrame, keys: list[str], value: str, temperature: float = 1.0) -> DataFrame:
+    """``p``: exp(value / temperature) over its group's sum, the greatest taken off first."""
+    top = _beside(df, keys, F.max(value).alias("_top"))
+    e = top.withColumn("_e", F.exp((F.col(value) - F.col("_top")) / temperature)).drop("_top")
+    return _beside(e, keys, F.sum("_e").alias("_all")).withColumn("p", F.col("_e") / F.col("_all")).drop("_e", "_all")
+
+
+def low_outliers(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
+    """Rows more than ``k`` sample deviations below their group's mean."""
+    return _beside(df, keys, F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")).filter(F.col(value) < F.col("_m") - k * F.col("_s")).drop("_m", "_s")

@@ -38,8 +38,8 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """
     ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, (F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_o")).cast("int")).drop("_p", "_o")
+    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_offset"))
+    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, (F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_offset")).cast("int")).drop("_p", "_offset")
 
 
 def mutual_nearest(pairs: DataFrame) -> DataFrame:

@@ -274,3 +274,35 @@ _add(
 _PROGRESS = "WITH i AS (SELECT user_id::VARCHAR AS job_id, event_type || (event_id % 9) AS item FROM events WHERE event_id % 9 <> 8) SELECT job_id, count(DISTINCT item)::INT AS processed, count(DISTINCT item)::INT AS total FROM i GROUP BY job_id"
 _add("job_progress", _PROGRESS)
 _add("stream_progress", _PROGRESS)
+_add(
+    "contrast_clip",
+    "WITH h AS (SELECT tp, least(floor(v * (256 / 131072.0)), 255)::INT AS bin, count(*) AS n FROM voxel WHERE v BETWEEN 0 AND 131072 GROUP BY 1, 2), t AS (SELECT tp, floor(count(*) / 300.0) AS most FROM voxel GROUP BY tp), "
+    "b AS (SELECT tp, min(bin) * 512.0 AS lo, max(bin) * 512.0 AS hi FROM h JOIN t USING (tp) WHERE n > most GROUP BY tp) "
+    "SELECT tp, z, y, x, round(least(greatest((v - lo) / (hi - lo + pow(2.0, -23)), 0), 1) + 1e-9, 5) AS clipped FROM voxel JOIN b USING (tp)",
+    "voxel",
+)
+_add("softmax", "SELECT t, label, round(exp(cx / 2.0 - max(cx / 2.0) OVER w) / sum(exp(cx / 2.0 - m)) OVER w, 8) AS p FROM (SELECT *, max(cx / 2.0) OVER (PARTITION BY t) AS m FROM det) WINDOW w AS (PARTITION BY t)", "det")
+_add("low_outliers", "SELECT tp, z, y, x, v FROM voxel QUALIFY v < avg(v) OVER (PARTITION BY tp) - 1.5 * stddev_samp(v) OVER (PARTITION BY tp)", "voxel")
+_add("flip_rotate", "SELECT tp, 8 - z AS z, 10 - x AS y, y AS x, v FROM voxel", "voxel")
+_add(
+    "grey_opening",
+    "WITH d AS (SELECT unnest(range(-2, 3)) AS d), b AS (SELECT a.d AS a, b.d AS b, c.d AS c FROM d a, d b, d c WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 4), "
+    "e AS (SELECT tp, z, y, x, min(w) AS v FROM (SELECT tp, z + a AS z, y + b AS y, x + c AS x, v AS w FROM voxel, b) SEMI JOIN voxel USING (tp, z, y, x) GROUP BY tp, z, y, x) "
+    "SELECT tp, z, y, x, max(w) AS v FROM (SELECT tp, z + a AS z, y + b AS y, x + c AS x, v AS w FROM e, b) SEMI JOIN voxel USING (tp, z, y, x) GROUP BY tp, z, y, x",
+    "voxel",
+)
+_add("patchify", "SELECT tp, z // 3 AS pz, y // 3 AS py, x // 3 AS px, count(*)::INT AS n, arg_min(v, (z, y, x)) AS first, arg_max(v, (z, y, x)) AS last FROM voxel GROUP BY ALL", "voxel")
+_add("foreground_mask", "WITH m AS (SELECT tp, label <> min(label) OVER (PARTITION BY tp) AS is_fg FROM mask) SELECT tp, is_fg, count(*) AS n FROM m GROUP BY tp, is_fg", "mask")
+_add("common_shape", "WITH s AS (SELECT tp, max(z) + 1 AS z, max(y) + 1 AS y, max(x) + 1 AS x FROM voxel GROUP BY tp) SELECT min(z) // 4 * 4 AS z, min(y) // 4 * 4 AS y, min(x) // 4 * 4 AS x FROM s", "voxel")
+_add("shuffled_batches", "WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id)::INT AS position FROM embeddings) SELECT *, ((position - 1) // 32)::INT AS batch FROM n")
+_add("views_of_samples", "SELECT vec_id, (vec_id // 10)::INT AS sample, (vec_id % 10)::INT AS view FROM embeddings")
+_add("file_slice", f"WITH n AS (SELECT name, row_number() OVER (ORDER BY {_KEY}, name)::INT - 1 AS n FROM file) SELECT * FROM n WHERE n >= 10 AND n < 40", "file")
+_add("choose_datasets", "SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 'skip' ELSE 'create' END AS action FROM nation")
+_add("merged_settings", "SELECT name AS key, arg_max(value, iteration) AS value FROM metric GROUP BY name", "metric")
+_add("models_of_listing", "SELECT DISTINCT string_split(dir, '/')[3] AS model FROM file", "file")
+_add(
+    "iteration_times",
+    "WITH m AS (SELECT name, iteration, iteration * 250 + iteration % 3 * 10 AS ms, max(iteration) OVER (PARTITION BY name) AS n FROM metric), d AS (SELECT name, iteration, n, (ms - lag(ms) OVER (PARTITION BY name ORDER BY iteration)) / 1000.0 AS seconds FROM m) SELECT name, iteration, seconds FROM d WHERE iteration % 50 = 0 OR iteration = n",
+    "metric",
+)
+_add("total_loss", "SELECT iteration AS step, round(sum(value * CASE name WHEN 'click' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END) + 1e-9, 4) AS loss FROM metric WHERE iteration <= 200 GROUP BY iteration", "metric")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import strings as S
-from ..operators import catalogue, cleaning, components, density, grid, matching, objects, ops, scaling, tracks, vectors
+from ..operators import catalogue, cleaning, components, density, grid, matching, objects, ops, sampling, scaling, tracks, vectors
 from ..streaming import progress
 from .views import table, view
 
@@ -470,3 +470,91 @@ def stream_progress(spark, sf):
     running = progress.start(lines, told, "voxloom_progress")
     running.awaitTermination()
     return cut(spark.table("voxloom_progress"))
+
+
+# -- more of the same groups --------------------------------------------------------------------------------------
+
+
+@query
+def contrast_clip(spark, sf):
+    return scaling.contrast_clip(view(spark, sf, "voxel"), ["tp"], high=131072.0, cut=300).select("tp", "z", "y", "x", *_r("clipped", digits=5))
+
+
+@query
+def softmax(spark, sf):
+    return scaling.softmax(view(spark, sf, "det").select("t", "label", "cx"), ["t"], "cx", 2.0).select("t", "label", *_r("p", digits=8))
+
+
+@query
+def low_outliers(spark, sf):
+    return scaling.low_outliers(view(spark, sf, "voxel"), ["tp"], "v", 1.5)
+
+
+@query
+def flip_rotate(spark, sf):
+    return grid.rot90(grid.flip(view(spark, sf, "voxel"), "z", SHAPE[0]), SHAPE[2])
+
+
+@query
+def grey_opening(spark, sf):
+    return grid.opening(view(spark, sf, "voxel"), 2)
+
+
+@query
+def patchify(spark, sf):
+    p = grid.patchify(view(spark, sf, "voxel"), 3)
+    return p.select("tp", "pz", "py", "px", F.size("values").alias("n"), F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"))
+
+
+@query
+def foreground_mask(spark, sf):
+    return grid.foreground(view(spark, sf, "mask")).groupBy("tp", "is_fg").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def common_shape(spark, sf):
+    v = view(spark, sf, "voxel").groupBy("tp").agg(*((F.max(a) + 1).alias(a) for a in "zyx"))
+    return grid.common_shape(v, 4)
+
+
+@query
+def shuffled_batches(spark, sf):
+    return sampling.shuffled_batches(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 32)
+
+
+@query
+def views_of_samples(spark, sf):
+    return sampling.by_view(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 10)
+
+
+@query
+def file_slice(spark, sf):
+    return catalogue.file_slice(view(spark, sf, "file"), 10, 40)
+
+
+@query
+def choose_datasets(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"), "n_regionkey")
+    return catalogue.chosen(n, n.filter("n_regionkey = 1"), "skip")
+
+
+@query
+def merged_settings(spark, sf):
+    return catalogue.merged(view(spark, sf, "metric").select(F.col("iteration").alias("layer"), F.col("name").alias("key"), "value"))
+
+
+@query
+def models_of_listing(spark, sf):
+    return catalogue.models_of(view(spark, sf, "file").select(F.concat_ws("/", "dir", "name").alias("key")).withColumn("key", F.regexp_replace("key", "/DS/", "/")))
+
+
+@query
+def iteration_times(spark, sf):
+    m = view(spark, sf, "metric").select("name", "iteration", (F.col("iteration") * 250 + F.col("iteration") % 3 * 10).alias("ms"))
+    return ops.iteration_times(m, "name", "ms", 50)
+
+
+@query
+def total_loss(spark, sf):
+    m = view(spark, sf, "metric").filter("iteration <= 200").select(F.col("iteration").alias("step"), "name", "value")
+    return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
