@@ -27,6 +27,9 @@ LONG_SKETCH = 256
 #: Rounds in which a list's members are compared with one of its members only.
 STAR_ROUNDS = 3
 
+#: Ids up to which (counted first) the documents of candidate pairs are picked by a broadcast, else by a shuffle.
+BROADCAST_IDS = 200_000
+
 #: Members up to which a list that is still open is compared member by member.
 SHORT_LIST = 64
 
@@ -190,16 +193,26 @@ def _estimate_passes(percent: int) -> Column:
     return F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) >= m)
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that occur in the pairs, so that others aren't moved; and the written table of their ids."""
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), ids
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the union's sketch filters, the full sets decide."""
+    pairs = written(pairs, f"{name}-pairs")
+    near, ids = _of_pairs(sets, pairs)
     short = F.transform(F.slice("shingles", 1, LONG_SKETCH), lambda v: F.shiftright(v, 32).cast("int"))
-    side = lambda x: sets.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), short.alias(f"sk{x}"))
+    side = lambda x: near.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), short.alias(f"sk{x}"))
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(percent)).select("a", "b"), f"{name}-likely")
-    full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"full{x}"))
+    discard(pairs, ids)
+    near, ids = _of_pairs(sets, likely)
+    full = lambda x: near.select(F.col("id").alias(x), F.col("shingles").alias(f"full{x}"))
     both = F.size(F.array_intersect("fulla", "fullb"))
     exact = likely.join(full("a"), "a").join(full("b"), "b").filter(both * 100 >= (F.size("fulla") + F.size("fullb") - both) * percent)
     links = written(exact.select("a", "b").distinct(), name)
-    discard(likely)
+    discard(likely, ids)
     return links
 
 
