@@ -49,6 +49,9 @@ def test_unbalanced_markup():
     assert kept("<style>p{}</style>x < y &copy;") == ["x < y ©"]
     assert kept('<a title="a>b">t</a>') == ["t"]
     assert kept("<script>never closed") == []
+    inside = lambda page: [t for t, main, chrome in html_text.blocks(page) if main and not chrome]
+    assert inside('<div class="page has-sidebar"><div id="sidebar">s</div><article><header class="entry-header"><h1>T</h1></header>x<aside>y</aside><p class="ad">z</p></article></div>') == ["T", "x"]
+    assert inside('<header>h</header><main><p>a</p><section class="comments"><article>c</article></section></main>') == ["a"]
 
 
 def test_warc_round_trip(spark, tmp_path):
