@@ -7,7 +7,26 @@ from .views import with_views as _v
 ORACLES: dict[str, str] = {}
 
 
+def _shifted(sql: str) -> str:
+    """``sql`` whose ``round(x, d)`` with d below 6 rounds x + 1e-9, as the queries do: exact ties then round alike."""
+    out, at = [], 0
+    while (begin := sql.find("round(", at)) >= 0:
+        depth, comma, end = 1, -1, begin + 6
+        while depth:
+            c = sql[end]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = end
+            end += 1
+        inner, digits = sql[begin + 6 : comma], sql[comma + 1 : end - 1].strip()
+        shift = int(digits) < 6 and "1e-9" not in inner
+        out.append(sql[at:begin] + (f"round(({_shifted(inner)}) + 1e-9, {digits})" if shift else f"round({inner}, {digits})"))
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def _add(name: str, sql: str, *views: str) -> None:
+    sql = _shifted(sql)
     ORACLES[name] = _v(sql, *views) if views else sql
 
 

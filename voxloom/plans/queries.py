@@ -41,7 +41,7 @@ def object_geometry(spark, sf):
 
 @query
 def object_intensity(spark, sf):
-    return objects.mean_intensity(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "volume", *_r("total", digits=2), F.round(F.col("total") / F.col("volume"), 3).alias("amplitude"))
+    return objects.mean_intensity(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "volume", *_r("total", digits=2), F.round(F.col("total") / F.col("volume") + 1e-9, 3).alias("amplitude"))
 
 
 @query
@@ -97,7 +97,7 @@ def pad_value(spark, sf):
 @query
 def minmax_scale(spark, sf):
     scaled = scaling.minmax_scale(view(spark, sf, "voxel"), ["tp"])
-    return scaled.select("tp", "z", "y", "x", *_r("scaled", digits=6), N.remap(F.round("scaled", 6), -1.0, 1.0).alias("remapped")).withColumn("remapped", F.round("remapped", 5))
+    return scaled.select("tp", "z", "y", "x", *_r("scaled", digits=6), N.remap(F.round("scaled", 6), -1.0, 1.0).alias("remapped")).withColumn("remapped", F.round(F.col("remapped") + 1e-9, 5))
 
 
 @query
