@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -43,6 +44,43 @@ def test_shared_run_inside_a_block_goes_and_the_rest_stays(spark):
     assert got == {k: f"a{k} b{k} c{k}" for k in range(3)}
 
 
+def test_boilerplate_inside_articles_goes_and_the_article_stays(spark):
+    """Repeats are searched on pages with an article too; what two articles mostly share is an article, and stays."""
+    line = "subscribe to our letter and read more of what we write every single day"
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    page = lambda k: f"<nav>menu of all pages</nav><article><p>{own(k)}</p><p>{line}</p></article>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(3)] + [(7, "http://else/", page(7))]
+    rows += [(k, f"http://h/{k}", f"<div class='ad'>ad {k}</div><article><p>{own(9)}</p></article>") for k in (10, 11)]
+    got = dict(text_of(spark, rows))
+    assert [got[k] for k in range(3)] == [own(k) for k in range(3)]
+    assert got[7] == f"{own(7)}\n\n{line}"
+    assert got[10] == got[11] == own(9)
+
+
+def test_runs_across_short_blocks_go(spark):
+    """Blocks under ten tokens go if together they repeat; the words where pages begin to differ stay."""
+    menu = "".join(f"<div>{t}</div>" for t in ("Home", "All our news", "Contact us today", "Accept all", "By the staff"))
+    rows = [(k, f"http://h/{k}", f"<body>{menu}<div>The text of page number {k} is here</div></body>") for k in range(4)]
+    assert dict(text_of(spark, rows)) == {k: f"The text of page number {k} is here" for k in range(4)}
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    rnd = random.Random(8)
+    shared = [" ".join(rnd.choices("abcdefgh", k=14)) for _ in range(4)]
+    part = lambda: rnd.choice(shared) if rnd.random() < 0.4 else " ".join(rnd.choices("abcdefgh", k=rnd.randint(1, 16)))
+    rows = [(k, f"http://h{k % 2}/", "".join(f"<p>{part()}</p>" for _ in range(rnd.randint(1, 6)))) for k in range(40)]
+    streams = {k: (html_text.host_of(u), *html_text.stream(h)) for k, u, h in rows}
+    windows = {}
+    for host, found, tokens in streams.values():
+        for k in range(len(tokens) - 9):
+            windows.setdefault((host, *tokens[k : k + 10]), set()).add("\n".join(t for t, _, _ in found))
+    want = {}
+    for k, (host, found, tokens) in streams.items():
+        want[k] = html_text.unique_text(found, [j for j in range(len(tokens) - 9) if len(windows[(host, *tokens[j : j + 10])]) > 1], 10)
+    assert dict(text_of(spark, rows)) == want
+    assert any(want[k] != html_text.unique_text(found, [], 10) for k, (_, found, _) in streams.items())
+
+
 def test_unbalanced_markup():
     kept = lambda page: [t for t, _, chrome in html_text.blocks(page) if not chrome]
     assert kept("<p>a<p>b</i></div> c<nav>x") == ["a", "b c"] or kept("<p>a<p>b</i></div> c<nav>x") == ["a", "b", "c"]

@@ -1,10 +1,11 @@
-"""Main text of web pages: page structure, then a suffix array per host for text that structure leaves open."""
+"""Main text of web pages: page structure tells what can be content, repeats among the pages of a host what of it is boilerplate."""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, input_bytes, written
 
 #: Tokens from which a repeated substring counts as boilerplate.
 LEAST_TOKENS = 10
-#: Suffixes of a host that one slice of its suffix array holds, on average.
-SLICE = 50_000
+#: Bytes of input for each bucket that repeats are searched in.
+BUCKET_BYTES = 8 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -137,106 +138,219 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_PARTS = "row long, page_id long, url string, host string, page string, text string, open array<struct<at:int,text:string>>, aside array<string>"
+def stream(page: str) -> tuple[list[tuple[str, bool, bool]], list[str]]:
+    """The blocks of a page and the tokens of all of them in order."""
+    found = blocks(page)
+    return found, [t for text, _, _ in found for t in text.split(" ")]
+
+
+def _digest(found: list[tuple[str, bool, bool]]) -> str:
+    return hashlib.md5("\n".join(t for t, _, _ in found).encode("utf-8", "replace")).hexdigest()
+
+
+def _number(host: str, digest: str) -> int:
+    """A page of a host as a number: 64 bits of MD5, by which pages are told apart."""
+    return int.from_bytes(hashlib.md5(f"{host}\n{digest}".encode("utf-8", "replace")).digest()[:8], "little", signed=True)
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
+def anchors(host: str, tokens: list[str], least: int) -> np.ndarray:
+    """For the window of ``least`` tokens at each place the least hash of the half-as-long runs inside it, salted by host: equal windows have equal anchors."""
+    if len(tokens) < least:
+        return np.empty(0, np.int64)
+    short = max(1, least // 2)
+    token = _mixed(np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) for t in tokens), np.uint64, len(tokens)))
+    run = np.zeros(len(tokens) - short + 1, np.uint64)
+    for k in range(short):
+        run = run * _ODD + token[k : k + len(run)]
+    low = np.lib.stride_tricks.sliding_window_view(_mixed(run), least - short + 1).min(axis=1)
+    return _mixed(low ^ np.uint64(zlib.crc32(host.encode("utf-8", "replace")))).view(np.int64)
+
+
+def _dealt(places: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row per bucket: the bytes of the columns' entries that fall into it, in order."""
+    bucket = (places.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    at, first = np.unique(bucket[order], return_index=True)
+    ends = [*first[1:], len(order)]
+    blobs = [pa.array([c[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for c in (c[order] for c in columns)]
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *blobs], names=["bucket", *"abc"[: len(blobs)]])
+
+
+def _shared(key: str | list, value: str, kind: pa.DataType):
+    """Of a bucket's entries (key, page, value) those whose key two pages have, as (number, values) of each page."""
+
+    def shared(table: pa.Table) -> pa.Table:
+        keys, numbers = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("a", key), ("b", np.int64)))
+        values = np.frombuffer(b"".join(table.column("c").to_pylist()), value) if "c" in table.column_names else keys
+        order = np.lexsort((keys["y"], keys["x"])) if keys.dtype.names else np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        own = numbers[order]
+        twice = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        taken = order[np.repeat(twice, np.diff(np.append(first, len(own))))]
+        taken = taken[np.argsort(numbers[taken], kind="stable")]
+        pages, begin = np.unique(numbers[taken], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(taken)).astype(np.int32)), pa.array(values[taken], kind))
+        return pa.Table.from_arrays([pa.array(pages), lists], names=["number", "found"])
+
+    return shared
+
+
+def _anchor_rows(least: int, buckets: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for url, page in zip(*(c.to_pylist() for c in batch.columns)):
+                found, tokens = stream(page or "")
+                host = host_of(url)
+                own = np.unique(anchors(host, tokens, least))
+                keys.append(own), numbers.append(np.full(len(own), _number(host, _digest(found)), np.int64))
+            places = np.concatenate(keys)
+            yield _dealt(places, [places, np.concatenate(numbers)], buckets)
+
+    return rows
+
+
+_PARTS = "page_id long, url string, number long, blocks array<struct<text:string,main:boolean,chrome:boolean>>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
+    kept = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("chrome", pa.bool_())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), kept]
     for batch in batches:
         rows: list[tuple] = []
-        for row, page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
+        for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
             found = blocks(page or "")
-            if any(main and not chrome for _, main, chrome in found):
-                text = "\n\n".join(t for t, main, chrome in found if main and not chrome)
-                open_ = []
-                aside = [t for t, main, chrome in found if chrome or not main]
-            else:
-                text = None
-                open_ = [{"at": k, "text": t} for k, (t, _, chrome) in enumerate(found) if not chrome]
-                aside = [t for t, _, chrome in found if chrome]
-                if not open_:
-                    text = ""
-            digest = hashlib.md5("\n".join(t for t, _, _ in found).encode("utf-8", "replace")).hexdigest()
-            rows.append((row, page_id, url, host_of(url), digest, text, open_, aside))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), kept, pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["row", "page_id", "url", "host", "page", "text", "open", "aside"])
-
-
-def _suffixes(least: int):
+            rows.append((page_id, url, _number(host_of(url), _digest(found)), [{"text": t, "main": m, "chrome": c} for t, m, c in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["page_id", "url", "number", "blocks"])
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for url, page in zip(*(c.to_pylist() for c in batch.columns)):
+            found, tokens = stream(page or "")
+            host = host_of(url)
+            rows.append((_number(host, _digest(found)), host, " ".join(tokens)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["number", "host", "text"])
+
+
+def _suffixes(least: int, buckets: int):
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each token of each block the suffix from there on, cut to ``least`` tokens; shorter ones repeat nothing long enough."""
+        """The suffixes of a page's stream, cut to ``least`` tokens, whose anchors another page of the host has: 96 bits of MD5, page, place."""
         for batch in batches:
-            host, block, low, high, at, suffix = [], [], [], [], [], []
-            for h, text, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+            digests, numbers, places = [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for number, h, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = text.split(" ")
-                for k in range(len(tokens) - least + 1):
-                    host.append(h), block.append(text), low.append(lo), high.append(hi), at.append(k), suffix.append(" ".join(tokens[k : k + least]))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(block, pa.string()), pa.array(low, pa.string()), pa.array(high, pa.string()), pa.array(at, pa.int32()), pa.array(suffix, pa.string())], names=["host", "block", "lo", "hi", "at", "suffix"])
+                at = np.flatnonzero(np.isin(anchors(h, tokens, least), np.array(asked, np.int64))).astype(np.int32)
+                digests += [hashlib.md5("\n".join((h, *tokens[k : k + least])).encode("utf-8", "replace")).digest()[:12] for k in at]
+                numbers.append(np.full(len(at), number, np.int64)), places.append(at)
+            keys = np.frombuffer(b"".join(digests), "V12")
+            low = np.ascontiguousarray(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 12)[:, :8]).view(np.uint64).ravel()
+            yield _dealt(low, [keys, np.concatenate(numbers), np.concatenate(places)], buckets)
 
     return suffixes
 
 
-def _repeats(table):
-    """One slice of a host's suffix array: suffixes in order, neighbours with a common prefix of full length, on two pages."""
-    suffix = table.column("suffix").to_pylist()
-    order = sorted(range(len(suffix)), key=suffix.__getitem__)
-    lo, hi = table.column("lo").to_pylist(), table.column("hi").to_pylist()
-    taken: list[int] = []
-    first = 0
-    for k in range(1, len(order) + 1):
-        if k == len(order) or suffix[order[k]] != suffix[order[first]]:
-            run = order[first:k]
-            if min(lo[i] for i in run) != max(hi[i] for i in run):
-                taken += run
-            first = k
-    return table.select(["host", "block", "at"]).take(pa.array(taken, pa.int64()))
-
-
-def repeated_runs(streams: DataFrame, *, least: int = LEAST_TOKENS, slice_rows: int = SLICE) -> DataFrame:
-    """(host, block, starts) of substrings of ``least`` tokens or more that occur on two pages of a host.
-
-    ``streams`` has (host, page, text), one row per block.  Equal blocks of a
-    host are put together first, so what every page holds is one row.  A host's
-    suffix array is cut into slices by the hash of a suffix's first ``least``
-    tokens: all suffixes that share a long enough prefix lie in one slice, and
-    a large host has more slices.
-    """
-    blocks_ = streams.groupBy("host", F.col("text").alias("block")).agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
-    sized = blocks_.groupBy("host").agg(F.ceil(F.sum(F.size(F.split("block", " "))) / F.lit(slice_rows)).alias("slices"))
-    suffixes = blocks_.select("host", "block", "lo", "hi").mapInArrow(_suffixes(least), "host string, block string, lo string, hi string, at int, suffix string")
-    sliced = suffixes.join(sized, "host").withColumn("slice", F.pmod(F.xxhash64("suffix"), F.col("slices")))
-    return sliced.groupBy("host", "slice").applyInArrow(_repeats, "host string, block string, at int").groupBy("host", "block").agg(F.collect_set("at").alias("starts"))
-
+def repeated_runs(rows: DataFrame, *, least: int = LEAST_TOKENS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(number, starts): where on a page ``least`` tokens begin that another page of its host has too.
 
-def _unique_runs(least: int):
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A page's stream is the tokens of all its blocks.  A token lies in a
+    repeated substring of ``least`` tokens or more just if it lies in one of
+    exactly ``least``, so suffixes are put together by that long a prefix,
+    wherever they lie, and need no order beyond it.  Anchors, hashes of which
+    a window and its copies have the same, tell beforehand which suffixes can
+    repeat; the rest don't move.  Both travel as arrays dealt by hash into
+    buckets, whose number follows the input.
+    """
+    buckets = min(max(1, -(-input_bytes(rows) // bucket_bytes)), 1 << 16)
+    pages = rows.select("url", "html")
+    held = pages.mapInArrow(_anchor_rows(least, buckets), "bucket long, a binary, b binary")
+    asked = held.groupBy("bucket").applyInArrow(_shared("<i8", "<i8", pa.int64()), "number long, found array<long>")
+    asked = written(asked.groupBy("number").agg(F.flatten(F.collect_list("found")).alias("asked")), "page-anchors")
+    told = pages.mapInArrow(_streams, "number long, host string, text string").join(asked, "number").select("number", "host", "text", "asked")
+    suffixes = told.mapInArrow(_suffixes(least, buckets), "bucket long, a binary, b binary, c binary")
+    found = suffixes.groupBy("bucket").applyInArrow(_shared([("x", "<u8"), ("y", "<u4")], "<i4", pa.int32()), "number long, found array<int>")
+    covered = written(found.groupBy("number").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("starts")), "page-runs")
+    discard(asked)
+    return covered
+
+
+def unique_text(found: list[tuple[str, bool, bool]], starts: list[int], least: int) -> str:
+    """The text of a page's blocks without the runs of ``least`` tokens that begin at ``starts`` of its stream.
+
+    A page with a main part has that part as its text, and only runs wholly
+    within it count; it stays whole if they are more than half of it, as then
+    it is an article that another page has too.  Any other page has what isn't
+    chrome.  Of a block go whole blocks and stretches of ``least`` tokens; a
+    few words beside a run that go on differently are the block's own.
+    """
+    has_main = any(main and not chrome for _, main, chrome in found)
+    taken = [(main or not has_main) and not chrome for _, main, chrome in found]
+    split = [text.split(" ") for text, _, _ in found]
+    if not starts:
+        return "\n\n".join(text for (text, _, _), take in zip(found, taken) if take)
+    own = np.repeat(taken, [len(t) for t in split])
+    begin = np.array(starts)
+    if has_main:
+        before = np.concatenate(([0], np.cumsum(own)))
+        begin = begin[before[begin + least] - before[begin] == least]
+    depth = np.zeros(len(own) + 1, np.int64)
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, begin + least, -1)
+    covered = np.cumsum(depth)[:-1] > 0
+    if has_main and 2 * covered.sum() > own.sum():
+        covered[:] = False
+    out, at = [], 0
+    for tokens, take in zip(split, taken):
+        gone = covered[at : at + len(tokens)]
+        at += len(tokens)
+        if not take:
+            continue
+        if not gone.any():
+            out.append(" ".join(tokens))
+            continue
+        kept, first = [], 0
+        while first < len(tokens):
+            last = first + 1
+            while last < len(tokens) and gone[last] == gone[first]:
+                last += 1
+            if not gone[first] or last - first < min(least, len(tokens)):
+                kept += tokens[first:last]
+            first = last
+        if kept:
+            out.append(" ".join(kept))
+    return "\n\n".join(out)
+
+
+def _texts(least: int):
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for text, starts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if starts:
-                    tokens = text.split(" ")
-                    free = np.ones(len(tokens), bool)
-                    for k in starts:
-                        free[k : k + least] = False
-                    text = " ".join(t for t, f in zip(tokens, free) if f)
-                kept.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.string())], names=["row", "at", "text"])
+            kept = [unique_text([(b["text"], b["main"], b["chrome"]) for b in found], starts or [], least) for found, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["page_id", "url", "text"])
 
-    return unique
+    return texts
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """The main text of every page.
 
-    Structure comes first: scripts, styles, menus, headers, footers, asides,
-    forms and parts whose class, id, role or label names an advert, notice,
-    comment and the like are chrome.  What lies in an article or main element
-    otherwise is the page's text, whole.  A page without such an element
-    leaves its other blocks open; they are compared with all blocks outside of
-    main parts on the pages of its host: substrings of ``least_tokens`` tokens
-    or more that occur on two distinct pages are boilerplate and go, unique
-    runs stay.  Hosts without an open page need no suffix array.  Pages with
-    equal blocks count as one page, so copies of a page don't erase each other.
+    Structure tells what can be content: scripts, styles, menus, headers,
+    footers, asides, forms and parts whose class, id, role or label names an
+    advert, notice, comment and the like are chrome.  A page with an article
+    or main element has what lies in it otherwise, any other page all its
+    other blocks.  Of that, substrings of ``least_tokens`` tokens or more that
+    occur on two distinct pages of the host, in whatever part and across
+    blocks, are boilerplate and go; :func:`unique_text` tells which articles
+    stay whole.  Pages with equal blocks count as one page, so copies of a
+    page don't erase each other.
 
     Character references are decoded, white space within a block becomes one
     space, blocks are trimmed and joined by an empty line.  Returns one row
@@ -244,18 +358,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     is empty; null urls form one host; repeated rows and null ids are kept;
     other columns are ignored.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parts = written(rows.mapInArrow(_parts, _PARTS), "page-parts")
-    done = parts.filter("text IS NOT NULL").select(F.col("page_id").alias(id_col), "url", "text")
-    undone = parts.filter("text IS NULL")
-    if undone.limit(1).count() == 0:
-        return done
-    hosts = undone.select("host").distinct()
-    streams = parts.select("host", "page", F.explode(F.concat(F.col("open.text"), "aside")).alias("text")).join(hosts, "host", "left_semi")
-    covered = repeated_runs(streams, least=least_tokens)
-    open_blocks = undone.select("row", "host", F.explode("open").alias("b")).select("row", "host", F.col("b.at").alias("at"), F.col("b.text").alias("text"))
-    told = open_blocks.join(covered.withColumnRenamed("host", "h"), (F.col("host") == F.col("h")) & (F.col("text") == F.col("block")), "left").select("row", "host", "at", "text", "starts")
-    kept = told.mapInArrow(_unique_runs(least_tokens), "row long, at int, text string").filter("text <> ''")
-    joined = kept.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda b: b["text"]), "\n\n").alias("kept"))
-    rest = undone.select("row", "page_id", "url").join(joined, "row", "left").select(F.col("page_id").alias(id_col), "url", F.coalesce("kept", F.lit("")).alias("text"))
-    return done.union(rest)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    covered = repeated_runs(rows, least=least_tokens)
+    told = rows.mapInArrow(_parts, _PARTS).join(covered, "number", "left").select("page_id", "url", "blocks", "starts")
+    return told.mapInArrow(_texts(least_tokens), "page_id long, url string, text string").withColumnRenamed("page_id", id_col)
