@@ -234,3 +234,13 @@ def test_pairing(spark):
         catalogue.timepoints(f("s1.npy", "s9.npy"), f("s10.tif", "s2.tif", "s1.tif"))
     with pytest.raises(Exception, match="duplicate name"):
         catalogue.by_stem(f("a.npy", "a.tif")).collect()
+
+
+def test_greedy_match_covers_all_frames(spark):
+    from voxloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries._pairs(spark, sf).select("t", "ref", "cand", "dist").collect()]
+    got = sorted(tuple(r) for r in queries.greedy_match(spark, sf).select("t", "ref", "cand").collect())
+    assert got == greedy_rows(rows)
+    assert len({t for t, *_ in got}) > 3

@@ -250,7 +250,7 @@ def feature_votes(spark, sf):
 
 @query
 def greedy_match(spark, sf):
-    pairs = _pairs(spark, sf).filter("t <= 3")
+    pairs = _pairs(spark, sf)
     return matching.greedy(pairs).select("t", "ref", "cand")
 
 
