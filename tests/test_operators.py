@@ -244,3 +244,26 @@ def test_greedy_match_covers_all_frames(spark):
     got = sorted(tuple(r) for r in queries.greedy_match(spark, sf).select("t", "ref", "cand").collect())
     assert got == greedy_rows(rows)
     assert len({t for t, *_ in got}) > 3
+
+
+def test_connected_components_of_all_time_points(spark):
+    from voxloom.plans import queries
+    from voxloom.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    want, left = {}, {}
+    for r in view(spark, sf, "voxel").filter("v > 40000").collect():
+        left.setdefault(r["tp"], set()).add((r["z"], r["y"], r["x"]))
+    for tp, places in left.items():
+        label = 0
+        for first in sorted(places):
+            if (tp, *first) in want:
+                continue
+            label, todo = label + 1, [first]
+            while todo:
+                z, y, x = todo.pop()
+                if (z, y, x) in places and (tp, z, y, x) not in want:
+                    want[tp, z, y, x] = label
+                    todo += [(z + a, y + b, x + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    got = {(r["tp"], r["z"], r["y"], r["x"]): r["label"] for r in queries.connected_components_all(spark, sf).collect()}
+    assert got == want and len(left) > 1

@@ -203,6 +203,13 @@ def connected_components(spark, sf):
     return c
 
 
+@query
+def connected_components_all(spark, sf):
+    """The components of every time point; the SQL of ``connected_components`` holds one."""
+    bright = view(spark, sf, "voxel").filter("v > 40000")
+    return components.connected_components(bright.select("tp", "z", "y", "x"), SHAPE[1], SHAPE[2])
+
+
 # -- matching and tracks ------------------------------------------------------------------------------------------
 
 
