@@ -267,3 +267,16 @@ def test_connected_components_of_all_time_points(spark):
                     todo += [(z + a, y + b, x + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     got = {(r["tp"], r["z"], r["y"], r["x"]): r["label"] for r in queries.connected_components_all(spark, sf).collect()}
     assert got == want and len(left) > 1
+
+
+def test_total_loss_of_all_steps(spark):
+    from voxloom.plans import queries
+    from voxloom.plans.views import view
+
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in view(spark, sf, "metric").collect():
+        want[r["iteration"]] = want.get(r["iteration"], 0.0) + {"click": 0.5, "view": 2.0}.get(r["name"], 0.0) * (r["value"] or 0.0)
+    got = {r["step"]: r["loss"] for r in queries.total_loss_all(spark, sf).collect()}
+    assert got.keys() == want.keys() and max(got) > 200
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
