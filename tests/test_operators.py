@@ -280,3 +280,18 @@ def test_total_loss_of_all_steps(spark):
     got = {r["step"]: r["loss"] for r in queries.total_loss_all(spark, sf).collect()}
     assert got.keys() == want.keys() and max(got) > 200
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_all_jobs_of_owners_are_listed(spark):
+    from voxloom.plans import queries
+    from voxloom.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    jobs = view(spark, sf, "job")
+    got = {}
+    for r in queries.jobs_listed(spark, sf).orderBy("owner", "n").collect():
+        got.setdefault(r["owner"], []).append((r["n"], r["job_id"]))
+    assert sum(map(len, got.values())) == jobs.count()
+    longest = max(got, key=lambda o: len(got[o]))
+    assert len(got[longest]) > 3
+    assert got[longest] == [(k, r["job_id"]) for k, r in enumerate(ops.jobs_of(jobs, longest).collect(), 1)]

@@ -45,6 +45,11 @@ def jobs_of(jobs: DataFrame, owner: str) -> DataFrame:
     return jobs.filter(F.col("owner") == owner).orderBy(F.col("created_at_ms").desc(), "job_id")
 
 
+def listed(jobs: DataFrame) -> DataFrame:
+    """Every job with its position ``n`` in its owner's list, newest first, as :func:`jobs_of` orders it."""
+    return jobs.withColumn("n", F.row_number().over(Window.partitionBy("owner").orderBy(F.col("created_at_ms").desc(), "job_id")))
+
+
 def cleared(jobs: DataFrame, keep_running: bool) -> DataFrame:
     return jobs.filter("status = 'running'") if keep_running else jobs.limit(0)
 

@@ -572,3 +572,9 @@ def total_loss_all(spark, sf):
     """The loss of every step; the SQL of ``total_loss`` holds the first 200."""
     m = view(spark, sf, "metric").select(F.col("iteration").alias("step"), "name", "value")
     return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
+
+
+@query
+def jobs_listed(spark, sf):
+    """All jobs of each owner; the SQL of ``jobs_newest`` holds three."""
+    return ops.listed(view(spark, sf, "job")).select("owner", "n", "job_id", S.job_title(F.regexp_replace("kind", " ", "_")).alias("title"))
