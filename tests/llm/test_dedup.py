@@ -127,3 +127,10 @@ def test_substring_odd_rows(table):
     assert list(spans["spans"]) == [1, 21] and spans["kept_text"] == "y z"
     assert substring_dedup.remove_repeats(table([]), window=13).count() == 0
     assert substring_dedup.levels(13) == [4, 8, 13] and substring_dedup.levels(3) == [3]
+
+
+def test_values_that_agree_in_their_upper_bits_reject_no_pair(spark):
+    """8 of 10 values shared, two of them with the same upper bits, is 80 %; 7 of 11 is not."""
+    rows = [(9, [1, 1, 2, 3, 4, 5, 6, 7, 100], 9, [1, 1, 2, 3, 4, 5, 6, 7, 200]), (9, [1, 2, 3, 4, 5, 6, 7, 100, 101], 9, [1, 2, 3, 4, 5, 6, 7, 200, 201])]
+    pairs = spark.createDataFrame(rows, "na int, ska array<int>, nb int, skb array<int>")
+    assert [r[0] for r in pairs.select(near_dedup._estimate_passes(80)).collect()] == [True, False]

@@ -182,15 +182,18 @@ def _prune(sketches: DataFrame, parts: int, k: int, percent: int, m: int, name:
 def _estimate_passes(percent: int) -> Column:
     """Whether the union's sketch leaves a pair (na, ska, nb, skb) possible.
 
-    The sketches hold the upper 31 bits of their values, in order; equal upper
-    bits of different values can only let a pair pass.
+    The sketches hold the upper 31 bits of their values, in order.  Values of
+    one set that agree in these count once in the intersection, so as many are
+    added back: equal upper bits can only let a pair pass.
     """
     k, m = LONG_SKETCH, least_overlap(LONG_SKETCH, percent / 100)
     both = F.array_intersect("ska", "skb")
     least = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    exact = F.size(both) * 100 >= (F.col("na") + F.col("nb") - F.size(both)) * percent
-    return F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) >= m)
+    merged = F.least(*(F.size(c) - F.size(F.array_distinct(c)) for c in ("ska", "skb")))
+    most = F.size(both) + merged
+    exact = most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+    return F.when(whole, exact).otherwise(F.size(F.array_intersect(least, both)) + merged >= m)
 
 
 def _of_pairs(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
