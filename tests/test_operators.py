@@ -295,3 +295,19 @@ def test_all_jobs_of_owners_are_listed(spark):
     longest = max(got, key=lambda o: len(got[o]))
     assert len(got[longest]) > 3
     assert got[longest] == [(k, r["job_id"]) for k, r in enumerate(ops.jobs_of(jobs, longest).collect(), 1)]
+
+
+def test_sinkhorn_of_all_dimensions(spark):
+    from voxloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    points = {r["id"]: r["vec"] for r in queries._points(spark, sf).collect()}
+    ids = sorted(points)
+    q = np.exp(np.array([points[k] for k in ids], float) / 0.5)
+    q /= q.sum()
+    for _ in range(3):
+        q = q / q.sum(axis=0) / q.shape[1]
+        q = q / q.sum(axis=1, keepdims=True) / len(ids)
+    got = {(r["b"], r["k"]): r["p"] for r in queries.sinkhorn3_all(spark, sf).collect()}
+    assert len(got) == q.size and q.shape[1] == 64
+    assert all(got[b, k] == pytest.approx(q[i, k] * len(ids), abs=2e-6) for i, b in enumerate(ids) for k in range(64))

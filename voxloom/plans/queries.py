@@ -578,3 +578,10 @@ def total_loss_all(spark, sf):
 def jobs_listed(spark, sf):
     """All jobs of each owner; the SQL of ``jobs_newest`` holds three."""
     return ops.listed(view(spark, sf, "job")).select("owner", "n", "job_id", S.job_title(F.regexp_replace("kind", " ", "_")).alias("title"))
+
+
+@query
+def sinkhorn3_all(spark, sf):
+    """All 64 dimensions; the SQL of ``sinkhorn3`` holds eight."""
+    flat = _points(spark, sf).select(F.col("id").alias("b"), F.posexplode("vec").alias("k", "s"))
+    return vectors.sinkhorn(flat.select("b", "k", F.col("s").cast("double").alias("s")), 3, 0.5).select("b", "k", *_r("p", digits=6))
