@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,6 +25,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nearer = labels.select("node", "label").join(offered, "node").select("node", "label", F.least("label", "offer").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         step = nearer.join(jump, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("new"))
-        labels = written(step, "labels")
+        before, labels = labels, written(step, "labels")
+        discard(before)
         if not labels.filter("new").limit(1).count():
-            return labels.select("node", "label")
+            discard(edges)
+            found = labels.select("node", "label")
+            found._written_at = labels._written_at
+            return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -13,16 +14,19 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .kernels import U64, lower_ascii, mix, pieces, window_hashes, word_hashes, word_spans
-from .runtime import discard, input_bytes, shuffle_partitions, written
+from .runtime import discard, written
 
 #: Values that a sketch retains.
-SKETCH = 64
+SKETCH = 1024
 
 #: -ln of the bound on the chance that a pair at the threshold is missed.
 SURENESS = 20.0
 
-#: Values of the longer sketches that filter pairs before full sets are fetched.
-LONG_SKETCH = 256
+#: Values of the shorter sketches that filter pairs before full sets are fetched.
+ESTIMATE_SKETCH = 256
+
+#: Sizes of unions up to which every value may begin a run, then those at which sparser beginnings are tried.
+SIZES = (128, 192, 256, 384, 512, 768, 1024)
 
 #: Rounds in which a list's members are compared with one of its members only.
 STAR_ROUNDS = 3
@@ -52,13 +56,102 @@ def least_overlap(k: int, similarity: float, sureness: float = SURENESS) -> int:
     return 1
 
 
-def _needed(n: np.ndarray, k: int, percent: int, m: int) -> np.ndarray:
-    """The values of its sketch that a set of size n shares with that of any similar set, at least.
+# -- runs of retained values ------------------------------------------------------------------------------------
+
+
+def certain_run(size: int, percent: int) -> int:
+    """The values in a row, in order of hash, that two similar sets have in common for certain if their union has this size.
+
+    At most ``(100 - percent) %`` of the union are in one set only; these part
+    the common ones into one stretch more than they are.
+    """
+    odd = (100 - percent) * size // 100
+    return -(-(size - odd) // (odd + 1))
+
+
+@functools.lru_cache(maxsize=None)
+def missed(values: int, density: float, run: int, similarity: float) -> float:
+    """The chance that of ``values`` of a union no ``run`` common ones in a row start at one that may begin a run.
 
-    A set whose similar sets all fit into a sketch shares ``percent`` of its
-    own size; others share ``m``.
+    A value is common with the chance ``similarity`` (drawing without
+    replacement is only less likely to fail) and may begin a run with the
+    chance ``density``; the state is how far the oldest run under way has come.
     """
-    return np.where(100 * n <= percent * k, -((-percent * n) // 100), m)
+    state = [1.0] + [0.0] * (run - 1)
+    for _ in range(values):
+        after = [(1 - similarity) * sum(state)] + [0.0] * (run - 1)
+        after[0] += state[0] * similarity * (1 - density)
+        for come, x in enumerate(state):
+            if come + 1 < run:
+                after[come + 1] += x * similarity * (density if come == 0 else 1.0)
+        state = after
+    return sum(state)
+
+
+@functools.lru_cache(maxsize=None)
+def beginnings(values: int, run: int, similarity: float, sureness: float = SURENESS) -> int | None:
+    """How many of ``values`` of a union must be able to begin a run so that a pair is missed with a chance below ``exp(-sureness)``; None if all don't do."""
+    if missed(values, 1.0, run, similarity) > math.exp(-sureness):
+        return None
+    low, high = 1, values
+    while low < high:
+        middle = (low + high) // 2
+        if missed(values, middle / values, run, similarity) <= math.exp(-sureness):
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+class Runs:
+    """Which runs of retained values a set of a size puts into inverted lists.
+
+    Similar sets have long runs of equal values in the order of hashes.  The
+    length of a run depends on the union's size: up to ``SIZES[0]`` it is the
+    one that is certain and every value begins a run, so no pair is missed;
+    unions beyond ``longer_from`` have runs of one value more.  As a set
+    doesn't know the union, it takes all lengths of the unions it can have
+    with a similar set.  Values begin a run if another hash of theirs is below
+    a bound that falls with the set's size; so what begins one in the larger
+    of two sets does so in the smaller.
+    """
+
+    def __init__(self, percent: int, sketch: int):
+        self.percent, self.sketch, s = percent, sketch, percent / 100
+        self.short = certain_run(1 << 20, percent) if percent < 100 else 0
+        fits = lambda run, part: next((n for n in SIZES if (c := beginnings(n, run, s)) is not None and c <= part * n), SIZES[-1])
+        self.longer_from = max(SIZES[0], fits(self.short + 1, 0.3)) if self.short else 0
+        self.dense_to = max(SIZES[0], fits(self.short, 0.6)) if self.short else 0
+        self.many = {run: beginnings(n, run, s) or n for run, n in ((self.short, self.dense_to), (self.short + 1, self.longer_from))} if self.short else {}
+
+    def lengths(self, size: int) -> list[int]:
+        """The lengths of runs of a set of this size."""
+        if not self.short:
+            return []
+        widest = size * 100 // self.percent
+        if size > self.longer_from:
+            return [self.short + 1]
+        found = {min(self.short, certain_run(u, self.percent)) for u in range(size, min(widest, 16 * (self.short + 1), self.longer_from) + 1) if (100 - self.percent) * u >= 100}
+        if widest >= 16 * (self.short + 1):
+            found.add(self.short)
+        if widest > self.longer_from:
+            found.add(self.short + 1)
+        return sorted(found)
+
+    def density(self, size: int, run: int) -> float:
+        """The share of values that begin a run."""
+        return 1.0 if size <= self.dense_to and run <= self.short else min(1.0, self.many.get(run, self.many[self.short]) / min(size, self.sketch))
+
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        """Of a set's sorted values the 63-bit hashes of the runs within its sketch."""
+        low = values[: self.sketch]
+        out = []
+        for run in self.lengths(len(values)):
+            if len(low) >= run:
+                whole = mix(window_hashes(low, run) + U64(run)) >> U64(1)
+                bound = self.density(len(values), run)
+                out.append(whole if bound >= 1 else whole[mix(low[: len(whole)] ^ U64(0x5851F42D4C957F2D)) < U64(int(bound * 2.0**64))])
+        return np.concatenate(out) if out else values[:0]
 
 
 # -- sets -------------------------------------------------------------------------------------------------------
@@ -87,20 +180,21 @@ def _lists(arrays: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64), kind))
 
 
-_SKETCHED = "id long, n long, sa long, sb long, sketch array<long>"
+_SKETCHED = "id long, n long, sa long, sb long, keys array<long>"
 
 
-def _sketcher(words: int, k: int):
+def _sketcher(words: int, percent: int, k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(percent, k)
         for batch in batches:
-            n, sa, sb, low = [], [], [], []
+            n, sa, sb, keys = [], [], [], []
             for s in _sets(batch.column(1), words):
                 n.append(len(s))
                 sa.append(int(mix(s).sum(dtype=np.uint64)))
                 sb.append(int(np.bitwise_xor.reduce(mix(s * U64(3) + U64(1)))) if len(s) else 0)
-                low.append(s[:k])
+                keys.append(runs.keys(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sa, np.uint64).view(np.int64)), pa.array(np.array(sb, np.uint64).view(np.int64)), _lists(low)], names=["id", "n", "sa", "sb", "sketch"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sa, np.uint64).view(np.int64)), pa.array(np.array(sb, np.uint64).view(np.int64)), _lists(keys)], names=["id", "n", "sa", "sb", "keys"]
             )
 
     return sketch
@@ -123,60 +217,18 @@ def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
 
 
-def _value_counts(key, table):
-    values, counts = np.unique(_flat(table, "sketch")[0], return_counts=True)
-    return pa.table({"v": values.astype(np.int64), "block": np.full(len(values), key[0].as_py(), np.int64), "rows": counts.astype(np.int64)})
+def _postings(first: DataFrame) -> DataFrame:
+    """(v, id, n) of the inverted lists with two members or more, written.
 
-
-def _survivors(k: int, percent: int, m: int):
-    def survivors(table, reply):
-        """Sets of which enough sketch values occur elsewhere, with those values in the order of rarity."""
-        values, row = _flat(table, "sketch")
-        order = np.argsort(reply.column("v").to_numpy())
-        known, df = reply.column("v").to_numpy()[order], reply.column("df").to_numpy()[order]
-        if len(known) and len(values):
-            at = np.searchsorted(known, values)
-            at[at == len(known)] = 0
-            there = known[at] == values
-            values, row, df = values[there], row[there], df[at[there]]
-        else:
-            values, row, df = values[:0], row[:0], np.zeros(0, np.int64)
-        n = table.column("n").to_numpy()
-        have = np.bincount(row, minlength=len(n))
-        need = _needed(n, k, percent, m)
-        alive = have >= np.maximum(need, 1)
-        keep = alive[row]
-        values, row, df = values[keep], row[keep], df[keep]
-        order = np.lexsort((values, df, row))
-        values, row = values[order], row[order]
-        ids = np.flatnonzero(alive)
-        prefix = np.where(alive, have - need + 1, 0)
-        rank = np.arange(len(row)) - np.concatenate([[0], np.cumsum(np.where(alive, have, 0))])[row] if len(row) else row
-        head = rank < prefix[row] if len(row) else np.zeros(0, bool)
-        cut = lambda mask: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=len(n))[ids])]).astype(np.int32)), pa.array(values[mask].astype(np.int64)))
-        taken = table.select(["id", "n", "block"]).take(pa.array(ids))
-        return taken.append_column("sketch", cut(np.ones(len(row), bool))).append_column("prefix", cut(head))
-
-    return survivors
-
-
-_ALIVE = "id long, n long, block long, sketch array<long>, prefix array<long>"
-
-
-def _prune(sketches: DataFrame, parts: int, k: int, percent: int, m: int, name: str) -> DataFrame:
-    """Sets that may have a similar one, with the sketch values that other sets retain too and their prefix.
-
-    Order all values by (how many sets retain them, value).  Two sets whose
-    sketches share ``need`` values share one among the first
-    ``have - need + 1`` of each: only that prefix goes into inverted lists.
-    Counts are summed per block of sets first, so the commonest value makes
-    one row per block.
+    The lists' lengths are summed before they are shuffled, so the longest
+    list is one row a task; the join that leaves out lists of one member lets
+    adaptive execution split a long list.
     """
-    dealt = sketches.select("id", "n", "block", "sketch").repartition(parts, "block")
-    counted = dealt.groupBy("block").applyInArrow(_value_counts, "v long, block long, rows long")
-    same = Window.partitionBy("v")
-    shared = counted.repartition(parts, "v").select("block", "v", F.sum("rows").over(same).alias("df")).filter("df > 1")
-    return written(dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_survivors(k, percent, m), _ALIVE), name)
+    every = first.select(F.explode("keys").alias("v"), "id", "n")
+    lists = written(every.groupBy("v").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("v"), "lists")
+    found = written(every.join(lists, "v", "left_semi"), "postings")
+    discard(lists)
+    return found
 
 
 def _estimate_passes(percent: int) -> Column:
@@ -186,7 +238,7 @@ def _estimate_passes(percent: int) -> Column:
     one set that agree in these count once in the intersection, so as many are
     added back: equal upper bits can only let a pair pass.
     """
-    k, m = LONG_SKETCH, least_overlap(LONG_SKETCH, percent / 100)
+    k, m = ESTIMATE_SKETCH, least_overlap(ESTIMATE_SKETCH, percent / 100)
     both = F.array_intersect("ska", "skb")
     least = F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k)
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
@@ -202,14 +254,14 @@ def _of_pairs(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), ids
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: the union's sketch filters, the full sets decide."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str, every: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: the union's sketch filters, the full sets decide. every: about all sets occur in the pairs."""
     pairs = written(pairs, f"{name}-pairs")
-    near, ids = _of_pairs(sets, pairs)
-    short = F.transform(F.slice("shingles", 1, LONG_SKETCH), lambda v: F.shiftright(v, 32).cast("int"))
+    near, ids = (sets, None) if every else _of_pairs(sets, pairs)
+    short = F.transform(F.slice("shingles", 1, ESTIMATE_SKETCH), lambda v: F.shiftright(v, 32).cast("int"))
     side = lambda x: near.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), short.alias(f"sk{x}"))
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimate_passes(percent)).select("a", "b"), f"{name}-likely")
-    discard(pairs, ids)
+    discard(pairs, *([] if every else [ids]))
     near, ids = _of_pairs(sets, likely)
     full = lambda x: near.select(F.col("id").alias(x), F.col("shingles").alias(f"full{x}"))
     both = F.size(F.array_intersect("fulla", "fullb"))
@@ -227,14 +279,18 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 
 def _open_lists(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(v, id, n, label) of the lists that hold more than one component, one of those with the same members."""
+    """(v, id, n, label) of the lists that hold more than one component, one of those with the same members.
+
+    Once there are labels, the two members of a list of two have been compared
+    and so have nothing left to tell.
+    """
     if labels is None:
         named = postings.select("v", "id", "n", F.col("id").alias("label"))
     else:
         named = postings.select("v", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("label", "id").alias("label"))
     low = lambda *c: F.xxhash64(*c).bitwiseAND(0xFFFFFFFFFF)
     lists = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(low("id")).alias("s1"), F.sum(low("id", F.lit(7))).alias("s2"))
-    one = lists.filter("lo < hi").groupBy("members", "s1", "s2").agg(F.min("v").alias("v")).select("v")
+    one = lists.filter("lo < hi").filter(F.col("members") > (1 if labels is None else 2)).groupBy("members", "s1", "s2").agg(F.min("v").alias("v")).select("v")
     return named.join(one, "v", "left_semi")
 
 
@@ -317,18 +373,21 @@ def _last_links(members: DataFrame, sets: DataFrame, percent: int) -> list[DataF
     long = told.filter(F.col("all") > SHORT_LIST)
     links = [_verified(few, sets, percent, "links-short")]
     if not long.limit(1).count():
+        discard(told)
         return links
-    clusters = components(long.filter("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    within = components(long.filter("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b")))
+    clusters = within.select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     docs = long.select("id", "n", "label").distinct().join(clusters, "label")
-    within = docs.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
-    within = within.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("all") / LIST_BLOCK).alias("cols"), F.ceil((F.col("all") - F.col("main.c")) / LIST_BLOCK).alias("rows"))
-    placed = docs.join(within, "cluster").withColumn("outside", F.col("label") != F.col("main"))
+    sides = docs.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
+    sides = sides.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("all") / LIST_BLOCK).alias("cols"), F.ceil((F.col("all") - F.col("main.c")) / LIST_BLOCK).alias("rows"))
+    placed = docs.join(sides, "cluster").withColumn("outside", F.col("label") != F.col("main"))
     h = F.xxhash64("id")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     as_row = placed.filter("outside").select("cluster", "id", "label", F.lit(True).alias("outsider"), F.pmod(h, "rows").alias("i"), upto("cols").alias("j"))
     as_col = placed.select("cluster", "id", "label", F.lit(False).alias("outsider"), upto("rows").alias("i"), F.pmod(h, "cols").alias("j"))
     loaded = as_row.union(as_col).join(sets, "id").select("cluster", "i", "j", "id", "label", "outsider", "shingles")
     links.append(written(loaded.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "links-long"))
+    discard(told, within)
     return links
 
 
@@ -342,18 +401,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. One hash function; a set's sketch is its ``sketch`` least values.  Rows
        of equal sets become one class at once.
-    2. Inverted lists hold the retained values of sets of which enough values
-       occur elsewhere, and only their rarest prefix (see ``_prune``).
+    2. Inverted lists of retained values, a few in a row each (:class:`Runs`):
+       single values that most texts of a language have would make lists that
+       grow with the corpus, several in a row are shared by chance only by
+       texts that overlap much.
     3. Members of a list are paired with one of its members, not with each
        other.  The sketch of the union filters the pairs, the full sets decide.
        A list whose members are now in one component is finished: no pair in it
-       can change the result.  The others go through more such rounds.
+       can change the result.  While one of the others has over ``SHORT_LIST``
+       members, they go through more such rounds.
     4. In the lists that stay open every member outside the largest component
        is compared with all members of other components, long lists in blocks.
 
-    Sets that are whole in their sketches are handled exactly.  A pair of
-    larger sets at the threshold is missed with a chance below
-    ``exp(-SURENESS)``, about 2e-9, and no value, list or candidate is capped.
+    Pairs whose union has up to ``SIZES[0]`` shingles are never missed, larger
+    ones at the threshold with a chance below ``exp(-SURENESS)``, about 2e-9;
+    no value, list or candidate is capped.
 
     Returns one row per input row: ``id_col``, ``n_shingles``,
     ``component_id`` (least id reachable, itself included), ``kept``.  Rows
@@ -361,37 +423,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     document: its links are those of any of them.  A null id is linked with
     nothing, has a null component and stays.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    m = least_overlap(sketch, percent / 100)
-    blocks = max(parts, -(-input_bytes(docs) // (4 << 20)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(rows.mapInArrow(_sketcher(words, sketch), _SKETCHED), "sketched")
+    sketched = written(rows.mapInArrow(_sketcher(words, percent, sketch), _SKETCHED), "sketched")
     made = written(sketched.select("id", "n", "sa", "sb"), "classes")
     classes = made.filter("n > 0 AND id IS NOT NULL").groupBy("n", "sa", "sb").agg(F.min("id").alias("rep"))
     named = classes.select(F.col("n").alias("cn"), F.col("sa").alias("ca"), F.col("sb").alias("cb"), "rep")
     same = (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("sa") == F.col("ca")) & (F.col("sb") == F.col("cb"))
-    first = written(sketched.join(named, same, "left_semi").select("id", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "sketch"), "first")
+    first = written(sketched.join(named, same, "left_semi").select("id", "n", "keys"), "first")
     discard(sketched)
-    once = _prune(first, parts, sketch, percent, m, "alive0")
-    alive = _prune(once, parts, sketch, percent, m, "alive1")
-    small = first.filter(F.col("n") <= sketch).join(alive.filter(F.col("n") <= sketch).select("id"), "id", "left_semi").select("id", F.col("sketch").alias("shingles"))
-    large = alive.filter(F.col("n") > sketch).select("id")
-    sets = written(rows.join(large, "id", "left_semi").mapInArrow(_full(words), "id long, shingles array<long>").union(small), "sets")
-    discard(first, once)
-    postings = written(alive.select("id", "n", F.explode("prefix").alias("v")), "postings")
+    postings = _postings(first)
+    discard(first)
+    sets = written(rows.join(postings.select("id").distinct(), "id", "left_semi").mapInArrow(_full(words), "id long, shingles array<long>"), "sets")
     found: list[DataFrame] = []
-    labels = None
-    for turn in range(STAR_ROUNDS):
-        members = written(_open_lists(postings, labels), "open-lists")
-        found.append(_verified(_stars(members, percent, turn), sets, percent, f"links{turn}"))
+    labels, members = None, postings
+    for turn in range(STAR_ROUNDS + 1):
+        still = written(_open_lists(members, labels), "open-lists")
         discard(members)
-        labels = components(_all(found))
-    members = written(_open_lists(postings, labels), "open-lists")
-    found += _last_links(members, sets, percent)
-    discard(sets, alive, postings, members)
-    final = components(_all(found))
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component"))
+        members = still
+        if not members.limit(1).count():
+            break
+        last = turn == STAR_ROUNDS or turn and not members.groupBy("v").count().filter(F.col("count") > SHORT_LIST).limit(1).count()
+        links = _last_links(members, sets, percent) if last else [_verified(_stars(members, percent, turn), sets, percent, f"links{turn}", every=not turn)]
+        if _all(links).limit(1).count():
+            found += links
+            if labels is not None:
+                discard(labels)
+            labels = components(_all(found))
+        else:
+            discard(*links)
+        if last:
+            break
+    discard(sets, members, *found)
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component"))
     named = made.select("id", "n", "sa", "sb").join(of_class, ["n", "sa", "sb"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

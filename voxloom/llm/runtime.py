@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where that is unset (tests in one process) a temporary folder is taken.
+    Where that is unset and all runs in one process (tests), a temporary
+    folder is taken; a cluster without it is an error, as executors don't see
+    each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="voxloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Seconds between two calls of the driver's garbage collector, which lets Spark remove shuffle files of steps that are over.
+CLEAN_SECONDS = 3.0
+_cleaned = [0.0]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -35,8 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
-    # lets Spark's cleaner remove the shuffle files of steps that are over
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _cleaned[0] > CLEAN_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _cleaned[0] = time.monotonic()
     return table
 
 
