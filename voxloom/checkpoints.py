@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the session's checkpoint folder, which all executors share.
 
-    A temporary folder is taken only where ``spark.checkpoint.dir`` is unset.
+    A temporary folder is taken only where ``spark.checkpoint.dir`` is unset
+    and all runs in one process; a cluster without it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-"))
     return df.checkpoint(eager=True)
