@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Column names that the operators use inside.
-CLASH = ["h", "norm", "keep_id", "group_size", "id", "block", "n", "label", "v", "copies", "score"]
+CLASH = ["h", "norm", "keep_id", "group_size", "id", "block", "n", "label", "v", "copies", "score", "_mean", "_source", "_copies", "_d", "_dir", "_above", "_theirs", "_score", "_gone_id", "_kept_id", "a.b"]
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def table(spark):
 
         full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or "")) for r in rows]
         df = spark.createDataFrame(full, f"{id_col} long, {text_col} string, lang string, source string, n_chars long")
-        return df.withColumns({c: F.lit(7) for c in CLASH if c not in df.columns})
+        return df.select("*", *(F.lit(7).alias(c) for c in CLASH if c not in df.columns))
 
     return make
 

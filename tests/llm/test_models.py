@@ -50,6 +50,17 @@ def test_mixing_weights_large_means_and_salting(table, monkeypatch):
         mixing.mix(table(rows), weights={"a": -1.0})
 
 
+def test_mixing_a_source_of_one_document(table):
+    """Its mean is half of all rows; the copies are the sum of its draws, the texts are carried whole."""
+    rows = [(k, None if k == 3 else "t" * (k % 7), "a") for k in range(4000)] + [(9999, "x" * 100_000, "tiny")]
+    got = mixing.mix(table(rows), weights={"a": 1.0, "tiny": 1.0})
+    mean = len(rows) / 2
+    draws = math.ceil(mean / 64)
+    want = sum(poisson(uniform("mix", 9999, *([k] if k else [])), mean / draws) for k in range(draws))
+    counts = {r["doc_id"]: (r["n"], r["text"], r["_mean"], r["a.b"]) for r in got.filter("source = 'tiny'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("_mean").alias("_mean"), F.first("`a.b`").alias("a.b")).collect()}
+    assert counts == {9999: (want, "x" * 100_000, 7, 7)}
+
+
 def test_mixing_order_is_global(table):
     keys = [r["mix_key"] for r in mixing.mix(table([(k, "t", "a") for k in range(200)])).collect()]
     assert keys == sorted(keys)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import fresh, input_bytes, named, written
+
 #: Hexadecimal digits of MD5 that make a uniform number; 13 digits are 52 bits, exact in a double.
 _DIGITS = 13
 
@@ -17,23 +19,20 @@ def uniform(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
-def poisson_inverse(u: Column, mean: Column, tail: int) -> Column:
-    """The Poisson quantile of ``u``: how many values of the distribution function are at most ``u``.
-
-    ``tail`` bounds the count; take one that the mean reaches with negligible
-    probability.
-    """
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(tail)),
-        F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.when(u >= F.exp(-mean), 1).otherwise(0).cast("long").alias("n")),
-        lambda s, k: F.struct(
-            (s["term"] * mean / k).alias("term"),
-            (s["cdf"] + s["term"] * mean / k).alias("cdf"),
-            (s["n"] + F.when((u >= s["cdf"] + s["term"] * mean / k) & (s["n"] == k), 1).otherwise(0)).alias("n"),
-        ),
-        lambda s: s["n"],
+def poisson_table(mean: Column) -> Column:
+    """The Poisson distribution function at 0, 1, ... up to where what is left of it is negligible, as an array."""
+    tail = F.floor(mean + 12 * F.sqrt(mean) + 30).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(1), tail),
+        F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("cdf")),
+        lambda s, k: F.struct((s["term"] * mean / k).alias("term"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["term"] * mean / k)).alias("cdf")),
+        lambda s: s["cdf"],
     )
-    return step
+
+
+def poisson_inverse(u: Column, table: Column) -> Column:
+    """The Poisson quantile of ``u``: how many values of the distribution function are at most ``u``."""
+    return F.size(F.filter(table, lambda c: c <= u)).cast("long")
 
 
 def source_rates(docs: DataFrame, *, source_col: str = "source", weights: dict[str, float] | None = None, exponent: float = 0.5, rate: float = 1.0) -> DataFrame:
@@ -60,9 +59,11 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", weights: dict[s
     )
 
 
-#: Sources that are broadcast with their rates; beyond it the rates are joined by a salted shuffle.
-BROADCAST_SOURCES = 100_000
+#: Sources that are broadcast with their distribution functions (of at most about 200 numbers each); beyond it these are joined by a salted shuffle.
+BROADCAST_SOURCES = 10_000
 _SALTS = 64
+#: Bytes of the optimizer's estimate of the output for each partition of the shuffle, which has the session's number of partitions at least.
+PARTITION_BYTES = 128 << 20
 
 
 def mix(
@@ -81,11 +82,13 @@ def mix(
     Each document's number of copies is the Poisson quantile of a number hashed
     from ``seed`` and its id, with the source's mean: the same input gives the
     same output whatever the partitions, and a lost executor's part is remade
-    the same.  Means over ``max_mean`` are split: the document draws several
-    independent Poisson numbers of equal mean and adds them, which is the same
-    distribution, so no count is capped.  Copies are ordered by another hashed
-    number (``mix_key``): a range partition by that number is the global
-    shuffle, and no source can fill a partition.
+    the same.  A mean over ``max_mean`` is split: each document of that source
+    draws several independent Poisson numbers of equal mean and adds them,
+    which is the same distribution, so no count is capped.  A source's
+    distribution function is made once, with its rate.  Copies are ordered by
+    another hashed number (``mix_key``): its range is cut into equal parts, one
+    a partition, which is the global shuffle; as the number is uniform, no
+    source and no document can fill a part.
 
     The rates are joined by a broadcast if there are at most
     ``BROADCAST_SOURCES`` sources (counted first), else by a shuffle salted by
@@ -93,37 +96,34 @@ def mix(
 
     Adds ``copy`` (0, 1, ...) and ``mix_key`` to the columns of ``docs``.  A
     null source is a source of its own, a null id hashes as a word, rows that
-    repeat an id draw the same number of copies.  Columns of ``docs`` named
-    ``copy`` or ``mix_key`` are replaced.  Empty in, empty out.
+    repeat an id draw the same number of copies.  Texts aren't looked at, so
+    null, empty and very long ones are carried as they are.  Columns of
+    ``docs`` named ``copy`` or ``mix_key`` are replaced, all others kept,
+    whatever their names.  Empty in, empty out.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    from .runtime import written
-
-    rates = written(
-        source_rates(docs, source_col=source_col, weights=weights, exponent=exponent, rate=rate).select(F.col("source").alias("_source"), F.col("mean_copies").alias("_mean")), "rates"
-    )
-    count, most = rates.agg(F.count(F.lit(1)), F.max("_mean")).first()
-    parts = max(1, math.ceil((most or 0.0) / max_mean))
-    mean = min(most or 0.0, max_mean)
-    tail = int(mean + 12 * math.sqrt(mean) + 30)
-    rows = docs.select(*columns)
-    if count <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("_source")))
+    its, mean, draws, table, salt, own_salt, copies, part = fresh(docs.columns, "source", "mean", "draws", "table", "salt", "own_salt", "copies", "part")
+    rates = source_rates(docs, source_col=source_col, weights=weights, exponent=exponent, rate=rate).select(F.col("source").alias(its), F.col("mean_copies").alias(mean))
+    rates = rates.withColumn(draws, F.greatest(F.lit(1), F.ceil(F.col(mean) / F.lit(float(max_mean)))).cast("long"))
+    rates = written(rates.withColumn(table, poisson_table(F.col(mean) / F.col(draws))), "rates")
+    rows = docs.select(*map(named, columns))
+    source, doc = named(source_col), named(id_col)
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(rates), source.eqNullSafe(F.col(its)))
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(_SALTS)).cast("int")
-        joined = rows.withColumn("_row_salt", salt).join(salted, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_row_salt") == F.col("_salt"))).drop("_row_salt", "_salt")
-    draw = lambda k: poisson_inverse(uniform(seed, F.col(id_col), *([F.lit(k)] if k else [])), F.col("_mean") / F.lit(float(parts)), tail)
-    copies = draw(0)
-    for k in range(1, parts):
-        copies = copies + draw(k)
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        joined = rows.withColumn(own_salt, F.pmod(F.xxhash64(doc), F.lit(_SALTS)).cast("int")).join(salted, source.eqNullSafe(F.col(its)) & (F.col(own_salt) == F.col(salt)))
+    text = F.coalesce(doc.cast("string"), F.lit("null"))
+    draw = F.transform(F.sequence(F.lit(0).cast("long"), F.col(draws) - 1), lambda k: uniform(seed, F.when(k == 0, text).otherwise(F.concat(text, F.lit(":"), k.cast("string")))))
+    count = F.aggregate(draw, F.lit(0).cast("long"), lambda n, u: n + poisson_inverse(u, F.col(table)))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rate * input_bytes(docs) / PARTITION_BYTES))
     out = (
-        joined.withColumn("_copies", copies)
-        .filter(F.col("_copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-        .withColumn("mix_key", uniform(seed + "-order", F.col(id_col), F.col("copy")))
-        .drop("_source", "_mean", "_copies")
+        joined.withColumn(copies, count)
+        .filter(F.col(copies) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
+        .withColumn("mix_key", uniform(seed + "-order", doc, F.col("copy")))
+        .withColumn(part, F.floor(F.col("mix_key") * partitions).cast("int"))
+        .select(*map(named, columns), "copy", "mix_key", part)
     )
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(partitions, "mix_key", F.col(id_col)).sortWithinPartitions("mix_key", F.col(id_col), "copy")
+    return out.repartitionById(partitions, F.col(part)).drop(part).sortWithinPartitions("mix_key", doc, "copy")

@@ -4,16 +4,16 @@ _SOURCE_MIXING = """
 WITH sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE * sum(n) OVER () * w / sum(w) OVER () / n AS mean FROM sizes),
 draws AS (
-  SELECT d.doc_id, d.source, r.mean, ('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  SELECT d.*, r.mean, ('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 ),
 steps AS (
   SELECT mean, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS term FROM (SELECT DISTINCT mean FROM rates) CROSS JOIN range(0, 60) t(k)
 ),
 cdf AS (SELECT mean, sum(term) OVER (PARTITION BY mean ORDER BY k) AS c FROM steps),
-copies AS (SELECT d.doc_id, d.source, (SELECT count(*) FROM cdf WHERE cdf.mean = d.mean AND cdf.c <= d.u) AS n FROM draws d)
-SELECT doc_id, source, copy, ('0x' || substr(md5('mix-order:' || doc_id || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS mix_key
-FROM (SELECT doc_id, source, unnest(range(0, n)) AS copy FROM copies)
+copies AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.mean = d.mean AND cdf.c <= d.u) AS n FROM draws d)
+SELECT doc_id, text, lang, source, n_chars, copy, ('0x' || substr(md5('mix-order:' || doc_id || ':' || copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS mix_key
+FROM (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n)) AS copy FROM copies)
 """
 
 _EXACT_DEDUP = r"""

@@ -32,9 +32,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of the documents so that each source's share follows the square root of its size."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, exponent=0.5, rate=1.0, seed="mix").select("doc_id", "source", "copy", "mix_key")
+    """Copies of the whole documents so that each source's share follows the square root of its size."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), exponent=0.5, rate=1.0, seed="mix")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

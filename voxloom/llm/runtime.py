@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,5 +67,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of ``df`` (files' sizes for a table)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects of ``df`` (files' sizes for a table); 0 if it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def fresh(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """Names for columns of an operator's own that no column in ``taken`` has, in any case of letters."""
+    lower = {t.lower() for t in taken}
+    lead = "_"
+    while any(f"{lead}{n}" in lower for n in names):
+        lead += "_"
+    return tuple(f"{lead}{n}" for n in names)
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and the like included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def map_in_arrow(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` whatever the columns' names; the function sees and gives them by place."""
+    inner = T.StructType([T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(schema.fields)])
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+    def renamed(batches):
+        for batch in function(batches):
+            yield batch.rename_columns(inner.names)
+
+    return plain.mapInArrow(renamed, inner).toDF(*schema.names)
