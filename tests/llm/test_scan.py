@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,15 +89,58 @@ def test_transducer_is_rebuilt_within_its_bound():
     assert machine.count(data, offsets).tolist() == want and machine.count(data, offsets).tolist() == want
 
 
-def test_licences_by_template(spark):
+def test_licences_by_template():
     scan = licenses.Scanner()
     for name, text in licenses.TEMPLATES:
-        assert name in scan.scan(f"Some words about nothing.\n{text}\nMore words follow here.")[0]
-    assert scan.scan("of the and in by to a plain text about a file and its source") [0] == {}
+        assert list(scan.scan(f"Some words about nothing.\n{text}\nMore words follow here.")[0]) == [name], text
+        assert list(scan.scan("\n".join(" * " + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9)))[0]) == [name], text
+    assert scan.scan("of the and in by to a plain text about a file and its source")[0] == {}
     broken = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation\n# files, to deal in the Software without restriction"
     assert list(scan.scan(broken)[0]) == ["MIT"]
 
 
+def test_licences_told_apart():
+    scan = licenses.Scanner()
+    cases = {
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n": ["Apache-2.0"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": ["GPL-3.0-only"],
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": ["LGPL-3.0-only"],
+        "Copyright (c) 2020 A B " + " ".join(licenses._MIT.split()): ["MIT"],
+        "// SPDX-License-Identifier: MIT": ["MIT"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-SA 4.0. Released under the MIT License.": ["CC-BY-SA-4.0", "MIT"],
+        licenses._BSD_2 + licenses._BSD_DISCLAIMER: ["BSD-2-Clause"],
+        licenses._BSD_2 + licenses._BSD_NAMES + licenses._BSD_DISCLAIMER: ["BSD-3-Clause"],
+        "This text is not licensed under the Apache License, Version 2.0.": [],
+    }
+    for text, want in cases.items():
+        assert sorted(scan.scan(text)[0]) == want, text
+
+
+def test_cosines_against_brute_force():
+    """Dense vectors over all words, as the sparse ones must be."""
+    scan = licenses.Scanner()
+    rnd = random.Random(4)
+    vocabulary = sorted(scan.idf) + ["foo", "bar"]
+    for _ in range(50):
+        words = rnd.choices(vocabulary, k=rnd.randint(1, 30))
+        weigh = lambda ws: np.array([(1 + math.log(ws.count(w))) * scan.idf.get(w, scan.unknown) if w in ws else 0.0 for w in vocabulary])
+        x = weigh(words)
+        for got, (_, text) in zip(scan.cosines(words), licenses.TEMPLATES):
+            y = weigh(licenses._WORD.findall(text.lower()))
+            assert abs(got - x @ y / math.sqrt((x @ x) * (y @ y))) < 1e-9
+
+
+def test_licence_scan_odd_rows(spark):
+    mit = "Released under the MIT License."
+    rows = [("a/LICENSE", "all rights are with the owner"), ("a/x.py", "code"), ("x.py", "y" * 300_000), ("LICENSE", mit), ("b/c.py", None), ("b/c.py", None)]
+    files = spark.createDataFrame([(p, t, *range(7)) for p, t in rows], "path string, text string, _d int, _dir int, _above int, _theirs int, _score int, _says int, `a.b` int")
+    got = licenses.license_scan(files)
+    assert got.columns == ["path", "_d", "_dir", "_above", "_theirs", "_score", "_says", "a.b", "declared", "score", "licenses", "inherited_from"]
+    told = sorted((r["path"], r["licenses"], r["_d"], r["_says"]) for r in got.collect())
+    assert told == [("LICENSE", ["MIT"], 0, 5), ("a/LICENSE", [licenses.UNKNOWN], 0, 5), ("a/x.py", [licenses.UNKNOWN], 0, 5), ("b/c.py", ["MIT"], 0, 5), ("b/c.py", ["MIT"], 0, 5), ("x.py", ["MIT"], 0, 5)]
+
+
 def test_anchors_lose_nothing(corpus):
     scan = licenses.Scanner()
     rnd = random.Random(2)
