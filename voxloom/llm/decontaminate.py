@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import text_bytes
+from .runtime import map_in_arrow
 
 #: Bytes of benchmark text that one automaton holds; more text makes more automata.
 AUTOMATON_BYTES = 8 << 20
@@ -198,4 +199,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
             _, spans, _ = scanner(batch.column(at))
             yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_in_arrow(docs, clean, docs.schema)

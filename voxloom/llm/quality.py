@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import pieces, word_hashes, word_spans
-from .runtime import written
+from .runtime import map_in_arrow, written
 
 #: Cosine features of the Gaussian kernel.
 FEATURES = 256
@@ -243,4 +243,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             good = model.score(statistics(batch.column(at))) >= threshold if batch.num_rows else np.zeros(0, bool)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_in_arrow(docs, keep, docs.schema)

@@ -17,6 +17,9 @@ BASE = 4
 #: Bytes of the input's files that go into one block of documents.
 BLOCK_BYTES = 4 << 20
 
+#: Bytes of the input's files for each partition, of which there are the session's number at least.
+PARTITION_BYTES = 64 << 20
+
 _LAST = np.iinfo(np.int64).max
 
 #: What a block sends at the last level, and at the others: twice its number, plus 1 if two of its documents hold the anchor.
@@ -167,8 +170,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    blocks = max(parts, -(-input_bytes(docs) // block_bytes))
+    size = input_bytes(docs)
+    parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
+    blocks = max(parts, -(-size // block_bytes))
     dealt = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).alias("block")
     ).repartition(parts, "block")
