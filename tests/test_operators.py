@@ -207,11 +207,14 @@ def test_jobs(spark):
 
 
 def test_progress(spark):
-    totals = spark.createDataFrame([("j", "stack0001"), ("j", "stack0002")], "job_id string, item string")
-    lines = ["Saving to /tmp/out/lr_feats/stack0001.npy", "Saved features to /tmp/out/lr_feats/stack0001.npy\r", "Saved features to /tmp/out/lr_feats/stack0001.npy", "\x1b[32mSaved features to /elsewhere/other.npy\x1b[0m"]
-    df = spark.createDataFrame([("j", x) for x in lines], "job_id string, line string")
-    assert [tuple(r) for r in progress.progress(df, totals).collect()] == [("j", 1, 2)]
-    assert progress.progress(df.limit(1), totals).count() == 0
+    totals = spark.createDataFrame([("j", "/tmp/out/lr_feats/stack0001.npy"), ("j", "/tmp/out/lr_feats/stack0002.npy")], "job_id string, item string")
+    lines = ["Saving to /tmp/out/lr_feats/stack0001.npy", "Saved features to /tmp/out/lr_feats/stack0001.npy\r", "Saved features to /tmp/out/lr_feats/stack0001.npy", "\x1b[32mSaved features to /elsewhere/stack0002.npy\x1b[0m", "Saved features to /tmp/out/lr_feats/stack0002.npy"]
+    df = spark.createDataFrame([("j", k, x) for k, x in enumerate(lines)], "job_id string, seq int, line string")
+    assert [tuple(r) for r in progress.progress(df.filter("seq < 4"), totals).collect()] == [("j", 1, 2)]  # a known name in another folder is no known file
+    assert [tuple(r) for r in progress.progress(df, totals).collect()] == [("j", 2, 2)]
+    stopped = spark.createDataFrame([("j", 4)], "job_id string, stopped_seq int")
+    assert [tuple(r) for r in progress.progress(df, totals, stopped).collect()] == [("j", 1, 2)]
+    assert progress.progress(df.filter("seq = 0"), totals).count() == 0
 
 
 def test_sources(spark, tmp_path):
@@ -265,7 +268,7 @@ def test_connected_components_of_all_time_points(spark):
                 if (z, y, x) in places and (tp, z, y, x) not in want:
                     want[tp, z, y, x] = label
                     todo += [(z + a, y + b, x + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    got = {(r["tp"], r["z"], r["y"], r["x"]): r["label"] for r in queries.connected_components_all(spark, sf).collect()}
+    got = {(r["tp"], r["z"], r["y"], r["x"]): r["label"] for r in queries.connected_components(spark, sf).collect()}
     assert got == want and len(left) > 1
 
 
@@ -277,7 +280,7 @@ def test_total_loss_of_all_steps(spark):
     want = {}
     for r in view(spark, sf, "metric").collect():
         want[r["iteration"]] = want.get(r["iteration"], 0.0) + {"click": 0.5, "view": 2.0}.get(r["name"], 0.0) * (r["value"] or 0.0)
-    got = {r["step"]: r["loss"] for r in queries.total_loss_all(spark, sf).collect()}
+    got = {r["step"]: r["loss"] for r in queries.total_loss(spark, sf).collect()}
     assert got.keys() == want.keys() and max(got) > 200
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
 
@@ -289,7 +292,7 @@ def test_all_jobs_of_owners_are_listed(spark):
     sf = "/root/testdata/sf0.001"
     jobs = view(spark, sf, "job")
     got = {}
-    for r in queries.jobs_listed(spark, sf).orderBy("owner", "n").collect():
+    for r in queries.jobs_newest(spark, sf).orderBy("owner", "n").collect():
         got.setdefault(r["owner"], []).append((r["n"], r["job_id"]))
     assert sum(map(len, got.values())) == jobs.count()
     longest = max(got, key=lambda o: len(got[o]))
@@ -308,6 +311,104 @@ def test_sinkhorn_of_all_dimensions(spark):
     for _ in range(3):
         q = q / q.sum(axis=0) / q.shape[1]
         q = q / q.sum(axis=1, keepdims=True) / len(ids)
-    got = {(r["b"], r["k"]): r["p"] for r in queries.sinkhorn3_all(spark, sf).collect()}
+    got = {(r["b"], r["k"]): r["p"] for r in queries.sinkhorn3(spark, sf).collect()}
     assert len(got) == q.size and q.shape[1] == 64
     assert all(got[b, k] == pytest.approx(q[i, k] * len(ids), abs=2e-6) for i, b in enumerate(ids) for k in range(64))
+
+
+def test_address_classes_are_those_of_the_standard_library(spark):
+    from voxloom.functions import strings as S
+    from voxloom.plans.oracles import _address_class
+
+    rng = np.random.default_rng(2)
+    some = ["", "localhost", "1.2.3", "01.2.3.4", "::", "1::", "::1:2:3:4:5:6:7:8", "fe80::1%eth0", "febf::1", "fec0::1", "2001:0:0:0:0:0:0:1", "2001:20::1", "2001:1::1", "64:ff9b:1::9", "12345::", "1:::2", "fd00::", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "100.64.0.1", "192.0.0.9"]
+    some += [".".join(map(str, rng.integers(0, 256, 4))) for _ in range(60)] + [f"{a}.{b}.0.7" for a, b in ((0, 1), (169, 254), (172, 15), (172, 16), (172, 31), (172, 32), (192, 0), (198, 17), (198, 18), (198, 19), (198, 20), (203, 0), (239, 1), (240, 0), (255, 1))]
+    some += [":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)) for _ in range(20)]
+    df = spark.createDataFrame([(x,) for x in some], "a string")
+    assert {r[0]: r[1] for r in df.select("a", S.ip_class(F.col("a"))).collect()} == {x: _address_class(x) for x in some}
+
+
+def test_parameters(spark):
+    from voxloom.functions import strings as S
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
+    assert [one(S.flag(F.lit(x), True)) for x in ("t", "Y", " on ", "f", "n", "0")] == [True] * 3 + [False] * 3
+    assert one(S.flag(F.lit(None).cast("string"), True)) is True and one(S.bounded_int(F.lit(None).cast("string"), 7, 0, 9)) == 7
+    assert one(S.bounded_int(F.lit(" 1_0 "), 7, 0, 10)) == 10
+    for wrong in (S.flag(F.lit("maybe"), True), S.bounded_int(F.lit("11"), 7, 0, 10), S.bounded_int(F.lit("x"), 7, 0, 10), S.positive_thresholds(F.lit("3,0"))):
+        with pytest.raises(Exception, match="Invalid|positive"):
+            one(wrong)
+    assert one(S.positive_thresholds(F.lit(" 4, ,2 "))) == [4, 2] and one(S.positive_thresholds(F.lit(" "))) is None
+    assert one(S.placed(F.lit("<a>X</a>"), {"X": F.lit("1<2 & \"q\"")})) == "<a>1&lt;2 &amp; &quot;q&quot;</a>"
+    assert one(S.client_id_ok(F.lit(" 12345678 "))) and not one(S.client_id_ok(F.lit("1234567")))
+    assert one(S.preview(F.array(*map(F.lit, "abcd")))) == "a, b, c..." and one(S.output_path(F.lit("/o"), "raw", F.lit("t1"))) == "/o/raw/t1.tif"
+
+
+def test_kde_of_equal_and_odd_values(spark):
+    s = spark.createDataFrame([(0, "fg", 2.0)] * 5 + [(0, "fg", float("inf")), (0, "fg", float("nan"))] + [(0, "bg", 0.0), (0, "bg", 4.0)], "c int, cls string, v double")
+    got = {r["x"]: r["f"] for r in density.kde(s, 5).filter("cls = 'fg'").collect()}
+    h = 1.06 * 5**-0.2
+    assert got.keys() == {0.0, 1.0, 2.0, 3.0, 4.0}
+    assert all(f == pytest.approx(np.exp(-0.5 * ((x - 2) / h) ** 2) / (h * np.sqrt(2 * np.pi))) for x, f in got.items())
+
+
+def test_koleo_makes_vectors_unit_length_and_knows_batches(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12, 4)) * rng.uniform(0.1, 9, (12, 1))
+    points = spark.createDataFrame([(k, k % 2, list(map(float, x))) for k, x in enumerate(v)], "id long, b long, vec array<double>")
+
+    def want(x):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u @ u.T
+        np.fill_diagonal(s, -2)
+        return float(-np.log(np.sqrt(np.maximum(2 - 2 * s.max(1), 0)) + 1e-8).mean())
+
+    assert vectors.koleo(points).first()["koleo"] == pytest.approx(want(v))
+    assert {r["b"]: r["koleo"] for r in vectors.koleo(points, "b").collect()} == {k: pytest.approx(want(v[k::2])) for k in (0, 1)}
+
+
+def test_covariance_of_large_means_and_centroids_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(50, 5)) + 1e6
+    points = spark.createDataFrame([(k, list(map(float, x))) for k, x in enumerate(v)], "id long, vec array<double>").repartition(7)
+    want = np.cov(v.T)
+    monkeypatch.setattr(vectors, "MERGE", 2)
+    got = {(r["i"], r["j"]): r["cov"] for r in vectors.covariance(points).collect()}
+    assert len(got) == 15 and all(got[i, j] == pytest.approx(want[i, j], rel=1e-7, abs=1e-7) for i, j in got)
+    centroids = points.filter("id < 9").select(F.col("id").alias("k"), "vec")
+    whole = sorted(map(tuple, vectors.assign(points, centroids).collect()))
+    monkeypatch.setattr(vectors, "MOST_CENTROIDS", 2)
+    assert [r[:2] for r in sorted(map(tuple, vectors.assign(points, centroids).collect()))] == [r[:2] for r in whole]
+
+
+def test_votes_have_no_distance(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 1.0, 0.9)], "t int, ref int, cand int, dist float, dice double")
+    f = spark.createDataFrame([(1, 1, 1, k, 0.9, 0.1) for k in range(5)], "t int, ref int, cand int, c int, corr double, mse double")
+    assert [(r["method"], r["distance"], r["wins"]) for r in matching.cascade(pairs, f, [3]).collect()] == [("vote_threshold_3", None, 5)]
+
+
+def test_spectrum_gap_against_a_plain_transform(spark):
+    from voxloom.operators import voxels
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 2, 3, 4))
+    rows = [("u", z, y, x, float(a[z, y, x]), float(b[z, y, x])) for z, y, x in np.ndindex(a.shape)]
+    place = np.array(list(np.ndindex(a.shape)))
+    # half of the last axis, as the other half mirrors it
+    waves = np.array([[np.exp(-2j * np.pi * (place / a.shape @ k)) for k in np.ndindex(2, 3, 3)]])[0]
+    magnitude = lambda v: np.abs(waves @ v.ravel()) / np.sqrt(v.size)
+    got = voxels.spectrum_gap(spark.createDataFrame(rows, "tp string, z int, y int, x int, a double, b double"), ["tp"], a.shape).first()
+    assert got["gap"] == pytest.approx(np.abs(magnitude(a) - magnitude(b)).mean())
+
+
+def test_errors_of_exchanged_tables(spark):
+    from voxloom.operators import exchange
+
+    t = lambda names: spark.createDataFrame([(n, k, k * 10) for k, n in enumerate(names)], "name string, position int, value int")
+    assert [r["value"] for r in exchange.aligned(t("ab").drop("value"), t("ba")).orderBy("position").collect()] == [10, 0]
+    assert [r["value"] for r in exchange.aligned(t("aa").drop("value"), t("aa")).orderBy("position").collect()] == [0, 10]
+    for here, there in (("ab", "abc"), ("ab", "ac"), ("aa", "ab")):
+        with pytest.raises(ValueError):
+            exchange.aligned(t(here).drop("value"), t(there))
+    with pytest.raises(ValueError, match="zz"):
+        exchange.selected(t("ab"), spark.createDataFrame([("zz",)], "name string"))

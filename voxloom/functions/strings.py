@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +90,24 @@ def progress(line: Column) -> Column:
     return F.struct(event.alias("event"), item.alias("item"), F.regexp_extract(line, count, 2).try_cast("int").alias("done"), F.regexp_extract(line, count, 3).try_cast("int").alias("total"))
 
 
+def completed(line: Column) -> Column:
+    """The folder that a plain log line reports as completed; null for other lines."""
+    name = F.trim(F.regexp_extract(line, r"^\[(?:process-features|segmentation|tracking|probmap)\] Completed (.+)$", 1))
+    return F.when(name != "", name)
+
+
+def matched_pair(line: Column) -> Column:
+    """The pair of time points that a plain log line reports as matched; null for other lines."""
+    pair = F.regexp_extract(line, r"^(?:\[tracking\] )?Matched (\S+ -> \S+)", 1)
+    return F.when(pair != "", pair)
+
+
+def reported(line: Column) -> Column:
+    """What a plain log line reports as done: the path of a saved file, a completed folder or a matched pair; null for other lines."""
+    saved = F.trim(F.regexp_extract(line, r"Saved features to\s+(.+)$", 1))
+    return F.coalesce(F.when(saved != "", saved), completed(line), matched_pair(line))
+
+
 def dataset_name_ok(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~name.isin(".", "..")
 
@@ -107,31 +127,92 @@ def client_id_ok(client: Column) -> Column:
     return F.length(F.trim(client)).between(8, 128) & ~client.contains("\x00")
 
 
-def ip_class(address: Column) -> Column:
-    """Local, Local network, Remote or Unknown."""
+# Address blocks of the public registries of special-purpose addresses that are private or of a link.
+_PRIVATE_4 = "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4".split()
+_PUBLIC_4 = "192.0.0.9/32 192.0.0.10/32".split()
+_PRIVATE_6 = "::/128 ::1/128 ::ffff:0:0/96 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 fc00::/7 fe80::/10".split()
+_PUBLIC_6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
+
+
+def _within(high: Column, low: Column, blocks: list[str]) -> Column:
+    """Whether an address, given as two numbers of half its bits, lies in one of the blocks."""
+    found = F.lit(False)
+    for block in blocks:
+        net = ipaddress.ip_network(block)
+        half = net.max_prefixlen // 2
+        a, b = int(net.network_address), int(net.broadcast_address)
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        if net.prefixlen <= half:
+            # both ends have the same sign in two's complement, as no block crosses the middle
+            found = found | high.between(signed(a >> half), signed(b >> half))
+        else:
+            found = found | (high == signed(a >> half)) & low.between(signed(a & (1 << half) - 1), signed(b & (1 << half) - 1))
+    return found
+
+
+def ip_class(address: Column, own: list[str] | None = None) -> Column:
+    """Local (loopback, or one of the server's ``own`` addresses), Local network, Remote, or Unknown for what is no address."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(address)), r"%.*$", ""), r"^::ffff:(?=\d+\.)", "")
-    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
-    v4 = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    is_4 = plain.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$")
+    bytes_4 = F.transform(F.split(plain, r"\."), lambda p: p.try_cast("long"))
+    high_4, low_4 = bytes_4[0] * 256 + bytes_4[1], bytes_4[2] * 256 + bytes_4[3]
+    ends = F.split(plain, "::")
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    first, last = groups(ends[0]), F.when(F.size(ends) > 1, groups(F.get(ends, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    room = 8 - F.size(first) - F.size(last)
+    is_6 = plain.rlike(r"^[0-9a-f:]+$") & ~plain.rlike(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$") & (((F.size(ends) == 1) & (room == 0)) | ((F.size(ends) == 2) & (room >= 1)))
+    filled = F.concat(first, F.array_repeat(F.lit("0"), F.greatest(room, F.lit(0))), last)
+    half = lambda k: F.conv(F.array_join(F.transform(F.slice(filled, k, 4), lambda g: F.lpad(g, 4, "0")), ""), 16, -10).cast("long")
+    high_6, low_6 = half(1), half(5)
+    near = F.when(is_4, _within(high_4, low_4, _PRIVATE_4) & ~_within(high_4, low_4, _PUBLIC_4)).otherwise(_within(high_6, low_6, _PRIVATE_6) & ~_within(high_6, low_6, _PUBLIC_6))
     return (
-        F.when(address.isNull() | (plain == ""), "Unknown")
-        .when((plain == "::1") | (plain.rlike(r"^127\.") & plain.rlike(v4)) | (plain == "localhost"), "Local")
-        .when(plain.rlike(v4) & plain.rlike(r"^(10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)"), "Local network")
-        .when(plain.rlike(r"^(fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:)"), "Local network")
-        .when(plain.rlike(v4) | plain.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$"), "Remote")
-        .otherwise("Unknown")
+        F.when(address.isNull() | ~(is_4 | is_6), "Unknown")
+        .when(plain.isin(*(own or [])) | (is_4 & (bytes_4[0] == 127)) | (is_6 & (high_6 == 0) & (low_6 == 1)), "Local")
+        .when(near, "Local network")
+        .otherwise("Remote")
     )
 
 
 def flag(value: Column, default: bool) -> Column:
-    """A query parameter as boolean."""
+    """A query parameter as boolean: the default if it is null, an error if it is neither yes nor no."""
     v = F.lower(F.trim(value))
-    return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off"), False).otherwise(default)
+    yes, no = ("1", "true", "t", "yes", "y", "on"), ("0", "false", "f", "no", "n", "off")
+    return F.when(value.isNull(), default).when(v.isin(*yes), True).when(v.isin(*no), False).otherwise(F.raise_error(F.concat(F.lit("Invalid boolean: "), value)).cast("boolean"))
+
+
+def bounded_int(value: Column, default: int, low: int, high: int) -> Column:
+    """A query parameter as an integer: the default if it is null, an error if it is none or out of bounds."""
+    number = F.when(F.trim(value).rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(F.trim(value), "_", "").try_cast("long"))
+    return F.when(value.isNull(), F.lit(default).cast("long")).when(number.between(low, high), number).otherwise(F.raise_error(F.concat(F.lit("Invalid number: "), value)).cast("long"))
+
+
+def pca_components(folder: Column) -> Column:
+    """The number in the name of a folder of components; null if it is none."""
+    return F.regexp_extract(folder, r"^pca_(\d+)$", 1).try_cast("int")
+
+
+def positive_thresholds(text: Column) -> Column:
+    """Thresholds between commas, null if there are none; an error if one is no positive number."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
+    numbers = F.transform(parts, lambda t: t.try_cast("int"))
+    wrong = F.exists(numbers, lambda n: F.coalesce(n <= 0, F.lit(True)))
+    return F.when(F.size(parts) == 0, F.lit(None).cast("array<int>")).when(wrong, F.raise_error(F.lit("thresholds must be positive")).cast("array<int>")).otherwise(numbers)
+
+
+def placed(template: Column, values: dict[str, Column]) -> Column:
+    """A page with its placeholders replaced by escaped texts."""
+    for name, value in values.items():
+        safe = value
+        for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            safe = F.replace(safe, F.lit(raw), F.lit(escaped))
+        template = F.replace(template, F.lit(name), safe)
+    return template
 
 
-def bounded_int(value: Column, low: int, high: int) -> Column:
-    """A query parameter as an integer between the bounds; null if it isn't one."""
-    number = F.trim(value).try_cast("int")
-    return F.when(number.between(low, high), number)
+def casefold_key(name: Column) -> Column:
+    """Order by letters whatever their case, then as written."""
+    return F.struct(F.lower(F.regexp_replace(name, "ß", "ss")).alias("folded"), name.alias("raw"))
 
 
 def job_title(kind: Column) -> Column:

@@ -33,10 +33,15 @@ def smoothed_histogram(samples: DataFrame, points: int = 256, sigma: float = 1.0
 def kde(samples: DataFrame, points: int = 64) -> DataFrame:
     """(c, cls, i, x, f): Gaussian kernel density on a grid over the joint range with Silverman's bandwidth.
 
-    Equal values are counted first, so the work is points times distinct values.
+    The spread is the lesser of standard deviation and scaled quartile range;
+    a sample of equal values has 1.  Infinities and NaN count nowhere.  Equal
+    values are counted first, so the work is points times distinct values.
     """
+    v = F.col("v").cast("double")
+    samples = samples.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     b = samples.groupBy("c", "cls").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("sd"), (F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"))
-    width = F.when(F.col("n") < 2, 0.2).otherwise(1.06 * F.least("sd", F.col("iqr") / 1.349) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    spread = F.when(F.col("sd") > 0, F.least("sd", F.col("iqr") / 1.349)).when(F.col("iqr") > 0, F.col("iqr") / 1.349).otherwise(1.0)
+    width = F.when(F.col("n") < 2, 0.2).otherwise(1.06 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     b = b.select("c", "cls", "n", F.greatest(width, F.lit(1e-6)).alias("h"))
     distinct = samples.groupBy("c", "cls", F.col("v").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
     grid = distinct.join(b, ["c", "cls"]).join(value_range(samples), "c").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,6 @@ def nearest_neighbour(queries: DataFrame, points: DataFrame, block: int = 512) -
     p = points.select(F.lit(False).alias("q"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(p_parts)).alias("j"))
 
     def best(pdf):
-        import pandas as pd
-
         a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("id")
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []}).astype({"id": "int64", "neighbour": "int64"})
@@ -47,20 +48,48 @@ def nearest_neighbour(queries: DataFrame, points: DataFrame, block: int = 512) -
     return top.select("id", (-F.col("m.n")).alias("neighbour"), F.col("m.similarity").alias("similarity"))
 
 
-def koleo(points: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Minus the mean log distance of unit vectors to their nearest neighbour."""
-    near = nearest_neighbour(points, points)
-    gap = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
-    return near.agg((-F.avg(F.log(gap + eps))).alias("koleo"))
+def koleo(points: DataFrame, batch: str | None = None, eps: float = 1e-8) -> DataFrame:
+    """Minus the mean log distance of vectors, made unit length first, to their nearest neighbour.
+
+    With ``batch``, a column that numbers batches, neighbours are those of the
+    batch, one row a batch; batches are as large as a training step's and meet
+    as arrays.
+    """
+    told = points.withColumn("vec", unit(F.col("vec")))
+    if batch is None:
+        near = nearest_neighbour(told, told)
+        gap = F.sqrt(F.greatest(2 - 2 * F.col("similarity"), F.lit(0.0)))
+        return near.agg((-F.avg(F.log(gap + eps))).alias("koleo"))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows.vec.to_numpy()).astype(np.float64)
+        s = v @ v.T
+        np.fill_diagonal(s, -np.inf)
+        gap = np.sqrt(np.maximum(2 - 2 * s.max(1), 0)) if len(v) > 1 else np.array([])
+        return pd.DataFrame({batch: [key[0]], "koleo": [float(-np.log(gap + eps).mean()) if len(gap) else None]})
+
+    kind = points.schema[batch].dataType.simpleString()
+    return told.groupBy(batch).applyInPandas(one, f"{batch} {kind}, koleo double")
 
 
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, k, distance): the nearest centroid by cosine distance, ties to the least k. At most ``MOST_CENTROIDS`` are broadcast, checked here."""
-    size = centroids.limit(MOST_CENTROIDS + 1).count()
-    if size > MOST_CENTROIDS:
-        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    told = points.crossJoin(F.broadcast(centroids.select("k", F.col("vec").alias("cvec"))))
-    return told.select("id", "k", N.cosine_distance(F.col("vec"), F.col("cvec")).alias("d")).groupBy("id").agg(F.min(F.struct("d", "k")).alias("m")).select("id", F.col("m.k").alias("k"), F.col("m.d").alias("distance"))
+    """(id, k, distance): the nearest centroid by cosine distance, ties to the least k.
+
+    Up to ``MOST_CENTROIDS`` (counted here) meet each point as one array in its
+    row, so nothing is multiplied out or shuffled; more are taken in blocks of
+    that many, one after the other, and the best of a point's blocks wins.
+    """
+    blocks = -(-centroids.count() // MOST_CENTROIDS)
+    best = None
+    for block in range(max(1, blocks)):
+        some = centroids if blocks <= 1 else centroids.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block)
+        listed = some.agg(F.array_sort(F.collect_list(F.struct("k", unit(F.col("vec")).alias("u")))).alias("_all"))
+        own = F.transform(F.array(unit(F.col("vec"))), lambda v: F.array_min(F.transform("_all", lambda c: F.struct((1.0 - N.dot(v, c["u"])).alias("d"), c["k"].alias("k")))))[0]
+        found = points.join(F.broadcast(listed)).select("id", own.alias("m"))
+        best = found if best is None else best.union(found)
+    if blocks > 1:
+        best = best.groupBy("id").agg(F.min("m").alias("m"))
+    return best.select("id", F.col("m.k").alias("k"), F.col("m.d").alias("distance"))
 
 
 def means(points: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -101,11 +130,51 @@ def sinkhorn(scores: DataFrame, rounds: int = 3, temperature: float = 1.0) -> Da
     return q.select("b", "k", (F.col("q") * n["nb"]).alias("p"))
 
 
+#: Matrices that one task merges.
+MERGE = 256
+
+
 def covariance(points: DataFrame) -> DataFrame:
-    """(i, j, cov) for i <= j, unbiased, from sums; width squared rows whatever the number of points."""
-    flat = points.select("id", F.posexplode("vec").alias("i", "a"), "vec")
-    pairs = flat.select("i", F.col("a").cast("double").alias("a"), F.posexplode("vec").alias("j", "b")).filter("i <= j").select("i", "j", "a", F.col("b").cast("double").alias("b"))
-    return pairs.groupBy("i", "j").agg(((F.sum(F.col("a") * F.col("b")) - F.sum("a") * F.sum("b") / F.count(F.lit(1))) / (F.count(F.lit(1)) - 1)).alias("cov"))
+    """(i, j, cov) for i <= j, unbiased.
+
+    Every task adds up its own rows' centred products and hands on one small
+    matrix (width squared numbers); these are merged about their means, so
+    large means cost no precision, by at most ``MERGE`` at a time.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, m2 = 0, None, None
+        for batch in batches:
+            if len(batch):
+                v = np.stack(batch.vec.to_numpy()).astype(np.float64)
+                n, mean, m2 = merged_moments((n, mean, m2), (len(v), v.mean(0), (v - v.mean(0)).T @ (v - v.mean(0))))
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        now = (0, None, None)
+        for n, mean, m2 in zip(rows.n, rows["mean"], rows.m2):
+            now = merged_moments(now, (n, np.array(mean), np.array(m2).reshape(len(mean), len(mean))))
+        return pd.DataFrame({"n": [now[0]], "mean": [now[1].tolist()], "m2": [now[2].ravel().tolist()]})
+
+    kind = "n long, mean array<double>, m2 array<double>"
+    parts = points.select("vec").mapInPandas(partial, kind)
+    groups = max(1, points.rdd.getNumPartitions() // MERGE)
+    while groups > 1:
+        parts = parts.groupBy((F.spark_partition_id() % groups).alias("g")).applyInPandas(merge, kind)
+        groups //= MERGE
+    whole = parts.groupBy(F.lit(0).alias("g")).applyInPandas(merge, kind)
+    flat = whole.select("n", F.size("mean").alias("w"), F.posexplode("m2").alias("p", "s"))
+    return flat.select(F.floor(F.col("p") / F.col("w")).cast("int").alias("i"), (F.col("p") % F.col("w")).alias("j"), (F.col("s") / (F.col("n") - 1)).alias("cov")).filter("i <= j")
+
+
+def merged_moments(a: tuple, b: tuple) -> tuple:
+    """Count, mean and centred products of two samples together."""
+    if not a[0]:
+        return b
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
 
 
 def pca(points: DataFrame, components: int) -> DataFrame:

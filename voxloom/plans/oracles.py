@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+from .queries import ADDRESSES
 from .views import with_views as _v
 
 ORACLES: dict[str, str] = {}
@@ -160,14 +163,6 @@ _add(
     "SELECT t.tp, t.z, t.y, t.x, sum(s.inside::INT) >= 5 AS inside FROM t JOIN g s ON s.tp = t.tp AND s.z = t.z AND s.y = t.sy AND s.x = t.sx GROUP BY t.tp, t.z, t.y, t.x",
     "voxel",
 )
-_add(
-    "connected_components",
-    "RECURSIVE WITH b AS (SELECT z, y, x, (z * 51 + y) * 11 + x AS p FROM voxel WHERE v > 40000 AND tp = '1995'), e AS (SELECT a.p AS u, c.p AS w FROM b a JOIN b c ON abs(a.z - c.z) <= 1 AND abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1), "
-    "seed AS (SELECT min(p) AS s FROM b), reach AS (SELECT s AS root, s AS p FROM seed UNION SELECT r.root, e.w FROM reach r JOIN e ON e.u = r.p), "
-    "rest AS (SELECT p AS root, p FROM b WHERE p NOT IN (SELECT p FROM reach) UNION SELECT r.root, e.w FROM rest r JOIN e ON e.u = r.p), roots AS (SELECT p, min(root) AS root FROM (SELECT * FROM reach UNION ALL SELECT * FROM rest) GROUP BY p) "
-    "SELECT '1995' AS tp, z, y, x, dense_rank() OVER (ORDER BY root) AS label FROM b JOIN roots USING (p)",
-    "voxel",
-)
 _CANDIDATES = (
     "WITH c AS (SELECT a.t, a.label AS ref, b.label AS cand, sqrt((a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx) + 2.5 * (a.cz - b.cz) * (a.cz - b.cz))::FLOAT AS dist "
     "FROM det a JOIN det b ON b.t = a.t + 1 AND abs(a.cy - b.cy) <= 15 AND abs(a.cx - b.cx) <= 15 AND abs(a.cz - b.cz) <= 2) "
@@ -217,7 +212,7 @@ _DENSE = _RANGE + (
 _add("density_hist", _DENSE + "SELECT c, cls, i, round(x, 4) AS x, round(f, 8) AS f FROM d", "sample")
 _add(
     "density_kde",
-    _RANGE + "b AS (SELECT cls, count(*) AS n, greatest(CASE WHEN count(*) < 2 THEN 0.2 ELSE 1.06 * least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349) * pow(count(*), -0.2) END, 1e-6) AS h FROM sample GROUP BY cls), "
+    _RANGE + "b AS (SELECT cls, count(*) AS n, greatest(CASE WHEN count(*) < 2 THEN 0.2 ELSE 1.06 * CASE WHEN stddev_pop(v) > 0 THEN least(stddev_pop(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349) ELSE 1.0 END * pow(count(*), -0.2) END, 1e-6) AS h FROM sample GROUP BY cls), "
     "g AS (SELECT i, lo + i * (hi - lo) / 31 AS x FROM r, range(0, 32) q(i)) "
     "SELECT 0 AS c, s.cls, g.i, round(g.x, 4) AS x, round(avg(exp(-0.5 * ((g.x - s.v) / b.h) * ((g.x - s.v) / b.h))) / any_value(b.h * sqrt(2 * pi())), 8) AS f FROM sample s JOIN b USING (cls), g GROUP BY s.cls, g.i, g.x",
     "sample",
@@ -240,8 +235,8 @@ _add(
 )
 _add(
     "sinkhorn3",
-    "WITH s AS (SELECT vec_id AS b, k, exp(embedding[k + 1]::DOUBLE / 0.5) AS q FROM embeddings, range(0, 8) r(k)), n AS (SELECT count(DISTINCT b) AS nb FROM s), q0 AS (SELECT b, k, q / sum(q) OVER () AS q FROM s), "
-    + ", ".join(f"k{i} AS (SELECT b, k, q / sum(q) OVER (PARTITION BY k) / 8 AS q FROM q{i - 1}), q{i} AS (SELECT b, k, q / sum(q) OVER (PARTITION BY b) / nb AS q FROM k{i}, n)" for i in (1, 2, 3))
+    "WITH s AS (SELECT vec_id AS b, k, exp(embedding[k + 1]::DOUBLE / 0.5) AS q FROM embeddings, range(0, 64) r(k)), n AS (SELECT count(DISTINCT b) AS nb FROM s), q0 AS (SELECT b, k, q / sum(q) OVER () AS q FROM s), "
+    + ", ".join(f"k{i} AS (SELECT b, k, q / sum(q) OVER (PARTITION BY k) / 64 AS q FROM q{i - 1}), q{i} AS (SELECT b, k, q / sum(q) OVER (PARTITION BY b) / nb AS q FROM k{i}, n)" for i in (1, 2, 3))
     + " SELECT b, k::INT AS k, round(q * nb, 6) AS p FROM q3, n",
 )
 _add("covariance", "WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS f, unnest(range(0, 64)) AS i FROM embeddings) SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.f, b.f), 7) AS cov FROM f a JOIN f b USING (vec_id) WHERE a.i <= b.i GROUP BY a.i, b.i")
@@ -272,17 +267,26 @@ _add(
     "file",
 )
 _add("chunk_key", _META + "SELECT name, concat_ws('_', md5('/data'), frame::VARCHAR, CASE WHEN frame % 2 <> 0 THEN (frame % 5)::VARCHAR END, wavelength::VARCHAR, '0') AS key FROM meta", "file")
-_add(
-    "ip_class",
-    "SELECT r_regionkey, i::INT AS i, ['Local', 'Local', 'Local network', 'Local network', 'Remote', 'Local network', 'Local network', 'Remote', 'Unknown', 'Unknown'][i + 1] AS class FROM region, range(0, 10) r(i)",
-)
+
+
+def _address_class(address: str) -> str:
+    """What the standard library says."""
+    try:
+        ip = ipaddress.ip_address(address.split("%")[0])
+    except ValueError:
+        return "Unknown"
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return "Local" if ip.is_loopback else "Local network" if ip.is_private or ip.is_link_local else "Remote"
+
+
+_add("ip_class", "SELECT r_regionkey, i::INT AS i, [" + ", ".join(f"'{_address_class(x)}'" for x in ADDRESSES) + f"][i + 1] AS class FROM region, range(0, {len(ADDRESSES)}) r(i)")
 _add(
     "smoothed_meter",
     "SELECT name, iteration, list_sort(list(value) OVER w)[(count(*) OVER w + 1) // 2] AS median, round((avg(value) OVER w) + 1e-9, 5) AS mean, round((avg(value) OVER a) + 1e-9, 5) AS global_mean, max(value) OVER w AS top, value AS last FROM metric "
     "WINDOW w AS (PARTITION BY name ORDER BY iteration ROWS 19 PRECEDING), a AS (PARTITION BY name ORDER BY iteration)",
     "metric",
 )
-_add("jobs_newest", "SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY created_at_ms DESC, job_id)::INT AS n, job_id, array_to_string(list_transform(list_filter(regexp_split_to_array(kind, '[-_ ]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM job QUALIFY n <= 3", "job")
+_add("jobs_newest", "SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY created_at_ms DESC, job_id)::INT AS n, job_id, array_to_string(list_transform(list_filter(regexp_split_to_array(kind, '[-_ ]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM job", "job")
 _add("job_final_status", "SELECT CASE WHEN exit_code IS NULL THEN 'running' WHEN stop_requested THEN 'halted' WHEN exit_code = 0 AND processed >= total THEN 'completed' ELSE 'failed' END AS status, count(*) AS n FROM job GROUP BY 1", "job")
 _add("log_tail", "SELECT job_id, seq, line, count(*) OVER (PARTITION BY job_id) AS total, count(*) OVER (PARTITION BY job_id) > 5 AS truncated FROM log QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 5", "log")
 _add(
@@ -324,4 +328,8 @@ _add(
     "WITH m AS (SELECT name, iteration, iteration * 250 + iteration % 3 * 10 AS ms, max(iteration) OVER (PARTITION BY name) AS n FROM metric), d AS (SELECT name, iteration, n, (ms - lag(ms) OVER (PARTITION BY name ORDER BY iteration)) / 1000.0 AS seconds FROM m) SELECT name, iteration, seconds FROM d WHERE iteration % 50 = 0 OR iteration = n",
     "metric",
 )
-_add("total_loss", "SELECT iteration AS step, round(sum(value * CASE name WHEN 'click' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END) + 1e-9, 4) AS loss FROM metric WHERE iteration <= 200 GROUP BY iteration", "metric")
+_add("total_loss", "SELECT iteration AS step, round(sum(value * CASE name WHEN 'click' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END) + 1e-9, 4) AS loss FROM metric GROUP BY iteration", "metric")
+
+from .more import SQL  # noqa: E402
+
+ORACLES |= SQL

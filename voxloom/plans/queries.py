@@ -16,6 +16,9 @@ from .views import table, view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Addresses of the query that classifies them.
+ADDRESSES = "127.0.0.1 ::1 10.2.3.4 192.168.0.9%eth0 8.8.8.8 ::ffff:172.20.1.1 fe80::1 2001:db8::1 what 0.0.0.0 198.18.0.1 240.0.0.1 192.0.2.1 localhost 2001:4860:4860::8888 256.1.1.1 ::".split()
+
 #: The grid of the voxel view.
 SHAPE = (9, 51, 11)
 
@@ -198,14 +201,7 @@ def median_filter_2d(spark, sf):
 
 @query
 def connected_components(spark, sf):
-    bright = view(spark, sf, "voxel").filter("v > 40000 AND tp = '1995'")
-    c = components.connected_components(bright.select("tp", "z", "y", "x"), SHAPE[1], SHAPE[2])
-    return c
-
-
-@query
-def connected_components_all(spark, sf):
-    """The components of every time point; the SQL of ``connected_components`` holds one."""
+    """The components of every time point."""
     bright = view(spark, sf, "voxel").filter("v > 40000")
     return components.connected_components(bright.select("tp", "z", "y", "x"), SHAPE[1], SHAPE[2])
 
@@ -340,7 +336,8 @@ def kmeans_fit(spark, sf):
 
 @query
 def sinkhorn3(spark, sf):
-    flat = _points(spark, sf).select(F.col("id").alias("b"), F.posexplode("vec").alias("k", "s")).filter("k < 8")
+    """All 64 dimensions as scores of as many prototypes."""
+    flat = _points(spark, sf).select(F.col("id").alias("b"), F.posexplode("vec").alias("k", "s"))
     return vectors.sinkhorn(flat.select("b", "k", F.col("s").cast("double").alias("s")), 3, 0.5).select("b", "k", *_r("p", digits=6))
 
 
@@ -428,7 +425,7 @@ def chunk_key(spark, sf):
 
 @query
 def ip_class(spark, sf):
-    a = F.array(*(F.lit(x) for x in ("127.0.0.1", "::1", "10.2.3.4", "192.168.0.9%eth0", "8.8.8.8", "::ffff:172.20.1.1", "fe80::1", "2001:db8::1", "what", "")))
+    a = F.array(*(F.lit(x) for x in ADDRESSES))
     return table(spark, sf, "region").select("r_regionkey", F.posexplode(a).alias("i", "address")).select("r_regionkey", "i", S.ip_class(F.col("address")).alias("class"))
 
 
@@ -439,8 +436,8 @@ def smoothed_meter(spark, sf):
 
 @query
 def jobs_newest(spark, sf):
-    j = view(spark, sf, "job").withColumn("n", F.row_number().over(Window.partitionBy("owner").orderBy(F.col("created_at_ms").desc(), "job_id")))
-    return j.filter("n <= 3").select("owner", "n", "job_id", S.job_title(F.regexp_replace("kind", " ", "_")).alias("title"))
+    """All jobs of each owner with their places, the newest first."""
+    return ops.listed(view(spark, sf, "job")).select("owner", "n", "job_id", S.job_title(F.regexp_replace("kind", " ", "_")).alias("title"))
 
 
 @query
@@ -462,7 +459,7 @@ def cpu_utilization(spark, sf):
 @query
 def job_progress(spark, sf):
     lines = view(spark, sf, "log").select("job_id", "line")
-    return progress.progress(lines, lines.select("job_id", S.progress(F.col("line"))["item"].alias("item")).filter("item NOT LIKE '%8'"))
+    return progress.progress(lines, lines.select("job_id", S.reported(F.col("line")).alias("item")).filter("item NOT LIKE '%8.npy'"))
 
 
 @query
@@ -473,7 +470,7 @@ def stream_progress(spark, sf):
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf)
     lines = stream.select(F.col("user_id").cast("string").alias("job_id"), F.concat(F.lit("Saved features to /out/hr_feats/"), "event_type", (F.col("event_id") % 9).cast("string"), F.lit(".npy")).alias("line"))
-    told = events.select(F.col("user_id").cast("string").alias("job_id"), F.concat("event_type", (F.col("event_id") % 9).cast("string")).alias("item")).filter("item NOT LIKE '%8'")
+    told = events.select(F.col("user_id").cast("string").alias("job_id"), F.concat(F.lit("/out/hr_feats/"), "event_type", (F.col("event_id") % 9).cast("string"), F.lit(".npy")).alias("item")).filter("item NOT LIKE '%8.npy'")
     running = progress.start(lines, told, "voxloom_progress")
     running.awaitTermination()
     return cut(spark.table("voxloom_progress"))
@@ -563,25 +560,9 @@ def iteration_times(spark, sf):
 
 @query
 def total_loss(spark, sf):
-    m = view(spark, sf, "metric").filter("iteration <= 200").select(F.col("iteration").alias("step"), "name", "value")
-    return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
-
-
-@query
-def total_loss_all(spark, sf):
-    """The loss of every step; the SQL of ``total_loss`` holds the first 200."""
+    """The loss of every step."""
     m = view(spark, sf, "metric").select(F.col("iteration").alias("step"), "name", "value")
     return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
 
 
-@query
-def jobs_listed(spark, sf):
-    """All jobs of each owner; the SQL of ``jobs_newest`` holds three."""
-    return ops.listed(view(spark, sf, "job")).select("owner", "n", "job_id", S.job_title(F.regexp_replace("kind", " ", "_")).alias("title"))
-
-
-@query
-def sinkhorn3_all(spark, sf):
-    """All 64 dimensions; the SQL of ``sinkhorn3`` holds eight."""
-    flat = _points(spark, sf).select(F.col("id").alias("b"), F.posexplode("vec").alias("k", "s"))
-    return vectors.sinkhorn(flat.select("b", "k", F.col("s").cast("double").alias("s")), 3, 0.5).select("b", "k", *_r("p", digits=6))
+from . import more  # noqa: E402, F401  registers its queries too
