@@ -152,6 +152,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+def test_warc_of_no_pages_and_of_a_very_long_one(spark, tmp_path):
+    warc.write_archives(pages(spark, []), str(tmp_path / "none"))
+    assert warc.resolved(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+    long = "x" * 3_000_000
+    warc.write_archives(pages(spark, [(1, "u", long), (2, "v", "y")]), str(tmp_path / "long"))
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, str(tmp_path / "long")).collect()}
+    assert got == {1: long, 2: "y"}
+
+
 def test_warc_small_payloads_are_responses(spark, tmp_path):
     path = str(tmp_path / "small")
     warc.write_archives(pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]), path, min_revisit_bytes=4)

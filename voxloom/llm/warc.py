@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ SEGMENT_BYTES = 32 << 10
 #: Bytes of a chunk of the HTTP body.
 CHUNK_BYTES = 8 << 10
 #: Records of an archive file; a reader holds one file at a time.
+FILE_BYTES = 64 << 20
 RECORDS_PER_FILE = 4000
 
 _END = b"\r\n\r\n"
@@ -101,7 +103,7 @@ def _one_line(url: str | None) -> str:
 
 
 def write_archives(
-    pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE, date: str = "2024-01-01T00:00:00Z"
+    pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z"
 ) -> None:
     """Write a record for every page into gzip-compressed archives below ``path``.
 
@@ -113,10 +115,20 @@ def write_archives(
     Files are written by Spark's text sink, so a lost executor's files are
     written again and a failed job leaves no half archives.
 
+    A file has as many records as ``FILE_BYTES`` hold on average (measured
+    first), ``RECORDS_PER_FILE`` at most, unless ``records_per_file`` is given;
+    a record has ``segment_bytes`` at most, so a very long page is spread over
+    several, and reading holds a file's compressed bytes and a few records.
+
     Rows that repeat an id and payload are all responses or all revisits; rows
-    with a null id revisit a row with an id if there is one.
+    with a null id revisit a row with an id if there is one.  Empty payloads
+    are equal payloads like others.  An empty table gives no records; other
+    columns, whatever their names, are ignored.
     """
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    if records_per_file is None:
+        mean = own.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+        records_per_file = int(min(RECORDS_PER_FILE, max(1, FILE_BYTES // (mean + 512))))
     own = own.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("md5", F.md5(F.col("html").cast("binary")))
     same = own.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("sha1", "md5").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     told = own.join(same.select(F.col("sha1").alias("s"), F.col("md5").alias("m"), "first"), (F.col("sha1") == F.col("s")) & (F.col("md5") == F.col("m")), "left")
@@ -146,24 +158,19 @@ _PARSED = "warc_type string, record_id string, origin_id string, page_id long, u
 
 
 def parse_archive(raw: bytes) -> Iterator[tuple]:
-    """The records of an archive (compressed or not), in the order of ``_PARSED``."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = raw.index(_END, at)
-        fields = {}
-        for line in raw[at:end].split(b"\r\n")[1:]:
+    """The records of an archive (compressed or not), in the order of ``_PARSED``; one record is decompressed at a time."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        fields: dict[str, str] = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
         size = int(fields["content-length"])
-        at = end + 4
-        block = raw[at : at + size]
-        if len(block) != size or raw[at + size : at + size + 4] != _END:
+        block = stream.read(size)
+        if len(block) != size or stream.read(len(_END)) != _END:
             raise ValueError(f"the record {fields.get('warc-record-id')} doesn't end where it says")
-        at += size + 4
         number = lambda name: int(fields[name]) if fields.get(name, "").lstrip("-").isdigit() else None
         yield (
             fields["warc-type"], fields["warc-record-id"], fields.get("warc-segment-origin-id") or fields["warc-record-id"], number("page-id"), fields.get("warc-target-uri"),
