@@ -92,6 +92,25 @@ def test_quality_on_held_out_rows(spark, table, words):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_quality_system_against_numpy(spark, monkeypatch):
+    """The ridge system of all rows at once, solved plainly, with parts added up two at a time."""
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    rng = np.random.default_rng(5)
+    width = len(quality.STATISTICS)
+    x, y = rng.normal(size=(200, width)) * rng.uniform(0.5, 5, width) + 3, rng.integers(0, 2, 200).astype(float)
+    training = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "stats array<double>, y double").repartition(9)
+    model = quality.fit(training, features=16)
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0))
+    random = np.random.Generator(np.random.PCG64(9))
+    directions, phases = random.normal(0, 1 / np.sqrt(width), (width, 16)), random.uniform(0, 2 * np.pi, 16)
+    z = model.features(x)
+    assert z[:, :16] == pytest.approx(np.sqrt(2 / 16) * np.cos((x - x.mean(0)) / x.std(0) @ directions + phases))
+    ridge = quality.PENALTY * len(x) * np.eye(17)
+    ridge[-1, -1] = 0
+    assert model.weights == pytest.approx(np.linalg.solve(z.T @ z + ridge, z.T @ y), rel=1e-6, abs=1e-9)
+    assert np.all(np.diff(model.score(x)[np.argsort(model.raw(x))]) >= -1e-12)
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark, table):
     rows = [(k, "a b c" if k % 2 else "x% y% z%") for k in range(100)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")

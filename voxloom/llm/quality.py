@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +125,15 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(c), s / w) for s, w, c in level]) if level else np.zeros(0)
 
 
+#: Parts of the normal equations that one task adds up.
+FAN_IN = 256
+
+
 def fit(training: DataFrame, *, features: int = FEATURES, penalty: float = PENALTY, bins: int = BINS, seed: int = 9) -> Model:
     """Fit on all rows of ``training`` (stats, y).
 
     Each partition sums its moments and its part of the normal equations;
-    the parts are summed per matrix row on the executors.  The driver solves
+    the parts are summed per matrix row on the executors, ``FAN_IN`` at a time.  The driver solves
     one system of ``features`` + 1 unknowns and pools at most ``bins`` bins,
     so nothing it holds grows with the data.  Without training rows every
     score is 0.5.
@@ -164,14 +169,21 @@ def fit(training: DataFrame, *, features: int = FEATURES, penalty: float = PENAL
                 z = empty.features(_matrix(batch, "stats"))
                 total[:, :-1] += z.T @ z
                 total[:, -1] += z.T @ batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.full(len(total), part)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "part", "row"])
 
     def add(key, table):
         column = table.column("row").combine_chunks()
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int64()), "row": pa.array([column.flatten().to_numpy().reshape(len(column), -1).sum(0)], pa.list_(pa.float64()))})
-
+        return pa.table({"i": table.column("i")[:1], "part": table.column("part")[:1], "row": pa.array([column.flatten().to_numpy().reshape(len(column), -1).sum(0)], pa.list_(pa.float64()))})
+
+    kind = "i long, part long, row array<double>"
+    added = training.mapInArrow(equations, kind)
+    parts = training.rdd.getNumPartitions()
+    while parts > FAN_IN:  # no task adds up more rows than these
+        parts = -(-parts // FAN_IN)
+        added = added.withColumn("part", F.col("part") % parts).groupBy("i", "part").applyInArrow(add, kind)
     whole = np.zeros((features + 1, features + 2))
-    for r in training.mapInArrow(equations, "i long, row array<double>").groupBy("i").applyInArrow(add, "i long, row array<double>").collect():
+    for r in added.groupBy("i").applyInArrow(add, kind).collect():
         whole[r["i"]] = r["row"]
     ridge = penalty * n * np.eye(features + 1)
     ridge[-1, -1] = 0  # the constant isn't shrunk
