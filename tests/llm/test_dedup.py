@@ -1,7 +1,9 @@
 import hashlib
 import itertools
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.llm import exact_dedup, near_dedup, substring_dedup
@@ -134,3 +136,42 @@ def test_values_that_agree_in_their_upper_bits_reject_no_pair(spark):
     rows = [(9, [1, 1, 2, 3, 4, 5, 6, 7, 100], 9, [1, 1, 2, 3, 4, 5, 6, 7, 200]), (9, [1, 2, 3, 4, 5, 6, 7, 100, 101], 9, [1, 2, 3, 4, 5, 6, 7, 200, 201])]
     pairs = spark.createDataFrame(rows, "na int, ska array<int>, nb int, skb array<int>")
     assert [r[0] for r in pairs.select(near_dedup._estimate_passes(80)).collect()] == [True, False]
+
+
+def test_runs_that_are_certain():
+    """Whatever values are in one set only, the common ones have a run of this length in a row."""
+    rnd = random.Random(6)
+    for size in range(5, 60):
+        odd = (100 - 80) * size // 100
+        for _ in range(40):
+            gone = set(rnd.sample(range(size), odd))
+            longest = max(len(r) for r in "".join("x" if k in gone else "." for k in range(size)).split("x"))
+            assert longest >= near_dedup.certain_run(size, 80)
+    assert near_dedup.certain_run(1 << 20, 80) == 4
+
+
+def test_similar_sets_share_a_key_and_few_others_do():
+    rng = np.random.default_rng(1)
+    for percent in (80, 60):
+        runs = near_dedup.Runs(percent, near_dedup.SKETCH)
+        for union in [*range(5, 40), 100, 127, 128, 129, 200, 300, 383, 384, 385, 400, 700, 1100, 3000, 9000]:
+            values = rng.integers(0, 1 << 63, union, dtype=np.uint64)
+            odd = rng.permutation(union)[: (100 - percent) * union // 100]
+            cut = rng.integers(0, len(odd) + 1)
+            a, b = np.sort(np.delete(values, odd[:cut])), np.sort(np.delete(values, odd[cut:]))
+            if len(odd):
+                assert set(runs.keys(a).tolist()) & set(runs.keys(b).tolist()), (percent, union)
+        # half alike: as many keys as before, hardly one in common
+        values = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+        a, b = np.sort(values[:1000]), np.sort(values[500:])
+        assert 40 < len(runs.keys(a)) < 400 and len(set(runs.keys(a).tolist()) & set(runs.keys(b).tolist())) < 30
+
+
+def test_missed_chance_by_simulation():
+    rng = np.random.default_rng(2)
+    share, density, run, size, tries = 0.8, 0.2, 5, 40, 4000
+    lost = 0
+    for _ in range(tries):
+        common, begin = rng.random(size) < share, rng.random(size) < density
+        lost += not any(begin[k] and common[k : k + run].all() for k in range(size - run + 1))
+    assert abs(lost / tries - near_dedup.missed(size, density, run, share)) < 0.03
