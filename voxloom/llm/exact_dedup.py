@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import fresh, named
+
 #: A run of ASCII white space.
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -63,6 +65,7 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Rows that repeat an id with equal text are one document and stay together.
     """
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi")
+    kept_id, kept_sha = fresh(docs.columns, "kept_id", "kept_sha")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    sha = F.sha2(normalised(named(text_col)).cast("binary"), 256)
+    return docs.join(kept, named(id_col).eqNullSafe(F.col(kept_id)) & (sha == F.col(kept_sha)), "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .kernels import U64, lower_ascii, mix, pieces, window_hashes, word_hashes, word_spans
-from .runtime import discard, written
+from .runtime import discard, fresh, named, written
 
 #: Values that a sketch retains.
 SKETCH = 1024
@@ -464,5 +464,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    (gone_id,) = fresh(docs.columns, "gone_id")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("NOT kept").select(F.col(id_col).alias(gone_id)).distinct()
+    return docs.join(gone, named(id_col) == F.col(gone_id), "left_anti")
