@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxloom.llm import exact_dedup, near_dedup, substring_dedup
@@ -131,6 +132,19 @@ def test_substring_odd_rows(table):
     assert substring_dedup.levels(13) == [4, 8, 13] and substring_dedup.levels(3) == [3]
 
 
+def test_windows_whose_hashes_agree_are_told_apart_by_their_tags():
+    docs = pa.table({"id": [5], "text": ["a b c d"]})
+    found = substring_dedup._level(docs, 0, 2, None, 2)
+    h, tag, n = found["h"].to_numpy().view(np.uint64), found["tag"].to_numpy(), found.num_rows
+    assert n == 3 and found["lo"].to_pylist() == [5] * 3 and found["several"].to_pylist() == [False] * 3
+    ones = np.ones(n, np.int64)
+    assert substring_dedup._cut(docs, 2, h, tag, ones)["n_removed"].to_pylist() == [4]
+    assert substring_dedup._cut(docs, 2, h, tag + 1, ones)["n_removed"].to_pylist() == [0]
+    twice = np.repeat(h, 2), np.stack([tag + 1, tag], 1).ravel()
+    assert substring_dedup._cut(docs, 2, *twice, np.tile([1, 9], n))["n_removed"].to_pylist() == [0]
+    assert substring_dedup._cut(docs, 2, *twice, np.tile([9, 1], n))["n_removed"].to_pylist() == [4]
+
+
 def test_values_that_agree_in_their_upper_bits_reject_no_pair(spark):
     """8 of 10 values shared, two of them with the same upper bits, is 80 %; 7 of 11 is not."""
     rows = [(9, [1, 1, 2, 3, 4, 5, 6, 7, 100], 9, [1, 1, 2, 3, 4, 5, 6, 7, 200]), (9, [1, 2, 3, 4, 5, 6, 7, 100, 101], 9, [1, 2, 3, 4, 5, 6, 7, 200, 201])]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import U64, cover, pieces, window_hashes, window_starts, word_hashes, word_spans
+from .kernels import U64, cover, mix, pieces, window_hashes, window_starts, word_hashes, word_spans
 from .runtime import input_bytes, shuffle_partitions
 
 #: The shortest window of the first level, in words.
@@ -22,8 +22,9 @@ PARTITION_BYTES = 64 << 20
 
 _LAST = np.iinfo(np.int64).max
 
-#: What a block sends at the last level, and at the others: twice its number, plus 1 if two of its documents hold the anchor.
-_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+#: What a block sends at the last level (hash, tag, least id, whether two of its documents hold the window),
+#: and at the others: twice its number, plus 1 if two of its documents hold the anchor.
+_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("lo", T.LongType()), T.StructField("several", T.BooleanType())])
 _SEEN = T.StructType([T.StructField("h", T.LongType()), T.StructField("code", T.LongType())])
 
 
@@ -67,6 +68,12 @@ class _Block:
             return np.zeros(0, np.uint64)
         return _running_min(window_hashes(words, length), self.window - length + 1)[at]
 
+    def tags(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """32 more bits of each window, from other values of its words than the hash's."""
+        if not len(at):
+            return np.zeros(0, np.int32)
+        return (window_hashes(mix(words + U64(0x632BE59BD9B4E019)), self.window)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The place of each value in the sorted ``known``, or -1."""
@@ -83,42 +90,60 @@ def _known(reply: pa.Table) -> np.ndarray:
     return np.sort(reply.column("h").to_numpy().view(np.uint64))
 
 
-def _known_with_least(reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _known_windows(reply: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = reply.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
-    return h[order], reply.column("lo").to_numpy()[order]
+    return h[order], reply.column("tag").to_numpy()[order], reply.column("lo").to_numpy()[order]
+
+
+def _places(values: np.ndarray, tags: np.ndarray, known: np.ndarray, known_tags: np.ndarray) -> np.ndarray:
+    """The place of each value and tag in ``known`` (sorted by value alone), or -1."""
+    place = _among(values, known)
+    other = np.flatnonzero(place >= 0)
+    other = other[known_tags[place[other]] != tags[other]]
+    while len(other):  # windows that differ though their hashes agree
+        place[other] += 1
+        over = place[other] == len(known)
+        over[~over] = known[place[other[~over]]] != values[other[~over]]
+        place[other[over]] = -1
+        other = other[~over]
+        other = other[known_tags[place[other]] != tags[other]]
+    return place
 
 
 def _level(table: pa.Table, block: int, window: int, before: tuple[int, np.ndarray] | None, length: int) -> pa.Table:
     """The anchors of ``length`` words of the windows that are still candidates, each once (``_SEEN``, at the last level ``_FOUND``)."""
     docs = _Block(table, window)
-    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    last = length == window
+    hashes, owners, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for _, _, _, _, _, _, words, at, owner in docs.pieces():
         if before is not None:
             alive = _among(docs.anchors(words, at, before[0]), before[1]) >= 0
             at, owner = at[alive], owner[alive]
         h = docs.anchors(words, at, length)
         if len(h):
-            edge = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+            tag = docs.tags(words, at) if last else np.zeros(len(h), np.int32)
+            edge = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (tag[1:] != tag[:-1])]
             hashes.append(h[edge])
             owners.append(owner[edge])
-    h, owner = np.concatenate(hashes), np.concatenate(owners)
+            tags.append(tag[edge])
+    h, owner, tag = np.concatenate(hashes), np.concatenate(owners), np.concatenate(tags)
     order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    h, owner, tag = h[order], owner[order], tag[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]) if len(h) else np.zeros(0, np.int64)
     lo = np.minimum.reduceat(owner, first) if len(h) else owner
     hi = np.maximum.reduceat(owner, first) if len(h) else owner
-    if length == window:
-        return pa.table({"h": h[first].view(np.int64), "lo": lo, "hi": hi})
+    if last:
+        return pa.table({"h": h[first].view(np.int64), "tag": tag[first], "lo": lo, "several": lo < hi})
     return pa.table({"h": h[first].view(np.int64), "code": 2 * block + (lo < hi)})
 
 
-def _cut(table: pa.Table, window: int, known: np.ndarray, least: np.ndarray) -> pa.Table:
+def _cut(table: pa.Table, window: int, known: np.ndarray, known_tags: np.ndarray, least: np.ndarray) -> pa.Table:
     """Per document: id, number of words, spans removed, text kept."""
     docs = _Block(table, window)
     n_words, n_removed, spans, kept = [], [], [], []
     for first, end, data, start, stop, bounds, words, at, owner in docs.pieces():
-        place = _among(docs.anchors(words, at, window), known)
+        place = _places(docs.anchors(words, at, window), docs.tags(words, at), known, known_tags)
         gone = at[(place >= 0) & (least[place] < owner)] if len(known) else at[:0]
         removed = cover(len(start), gone, window)
         size = np.where(removed, 0, stop - start + 1)
@@ -155,7 +180,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     next length.  At the first level that is one anchor for about
     ``(window - base) / 2`` words instead of a row for each word, and texts
     that share nothing end there.  The last level compares the windows
-    themselves by 64-bit hashes.
+    themselves by 96 bits, 64 of a hash and 32 of another.
 
     Documents are dealt once into blocks by a hash of their ids; all levels
     reuse that exchange.  Each block sends an anchor once, with its least and
@@ -187,8 +212,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def removable(found: DataFrame) -> DataFrame:
         """Per block its windows that a smaller id than one of its own holds, with the least id."""
-        told = found.repartition(parts, "h").select("h", "lo", "hi", F.min("lo").over(same).alias("least"))
-        return told.filter("least < hi").select(F.when(F.col("lo") == _LAST, F.lit(None)).otherwise(F.col("lo")).alias("lo_id"), "h", F.col("least").alias("lo")).select(block_of("lo_id").alias("block"), "h", "lo")
+        told = found.repartition(parts, "h").select("h", "tag", "lo", "several", F.min("lo").over(Window.partitionBy("h", "tag")).alias("least"))
+        own = F.when(F.col("lo") == _LAST, F.lit(None)).otherwise(F.col("lo"))
+        return told.filter("several OR least < lo").select(block_of(own).alias("block"), "h", "tag", F.col("least").alias("lo"))
 
     def first_level(length: int):
         return lambda key, t: _level(t, key[0].as_py(), window, None, length)
@@ -215,5 +241,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             T.StructField("kept_text", T.StringType()),
         ]
     )
-    cut = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lambda t, r: _cut(t, window, *_known_with_least(r)), out)
+    cut = dealt.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lambda t, r: _cut(t, window, *_known_windows(r)), out)
     return cut.withColumnRenamed("id", id_col)
