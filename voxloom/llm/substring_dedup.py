@@ -22,9 +22,9 @@ PARTITION_BYTES = 64 << 20
 
 _LAST = np.iinfo(np.int64).max
 
-#: What a block sends at the last level (hash, tag, least id, whether two of its documents hold the window),
-#: and at the others: twice its number, plus 1 if two of its documents hold the anchor.
-_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("lo", T.LongType()), T.StructField("several", T.BooleanType())])
+#: What a block sends at the last level: a window's hash, twice its tag, plus 1 if two documents of the block hold it, and the least id.
+#: At the others: twice the block's number, plus 1 if two of its documents hold the anchor.
+_FOUND = T.StructType([T.StructField("h", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("lo", T.LongType())])
 _SEEN = T.StructType([T.StructField("h", T.LongType()), T.StructField("code", T.LongType())])
 
 
@@ -69,10 +69,10 @@ class _Block:
         return _running_min(window_hashes(words, length), self.window - length + 1)[at]
 
     def tags(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """32 more bits of each window, from other values of its words than the hash's."""
+        """31 more bits of each window, from other values of its words than the hash's."""
         if not len(at):
             return np.zeros(0, np.int32)
-        return (window_hashes(mix(words + U64(0x632BE59BD9B4E019)), self.window)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+        return (window_hashes(mix(words + U64(0x632BE59BD9B4E019)), self.window)[at] >> U64(33)).astype(np.int32)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -134,7 +134,9 @@ def _level(table: pa.Table, block: int, window: int, before: tuple[int, np.ndarr
     lo = np.minimum.reduceat(owner, first) if len(h) else owner
     hi = np.maximum.reduceat(owner, first) if len(h) else owner
     if last:
-        return pa.table({"h": h[first].view(np.int64), "tag": tag[first], "lo": lo, "several": lo < hi})
+        order = np.argsort(lo, kind="stable")  # rows of one document side by side compress better
+        mark = ((tag[first].view(np.uint32) << np.uint32(1)) | (lo < hi)).astype(np.uint32).view(np.int32)
+        return pa.table({"h": h[first][order].view(np.int64), "mark": mark[order], "lo": lo[order]})
     return pa.table({"h": h[first].view(np.int64), "code": 2 * block + (lo < hi)})
 
 
@@ -180,7 +182,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     next length.  At the first level that is one anchor for about
     ``(window - base) / 2`` words instead of a row for each word, and texts
     that share nothing end there.  The last level compares the windows
-    themselves by 96 bits, 64 of a hash and 32 of another.
+    themselves by 95 bits, 64 of a hash and 31 of another.
 
     Documents are dealt once into blocks by a hash of their ids; all levels
     reuse that exchange.  Each block sends an anchor once, with its least and
@@ -212,7 +214,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def removable(found: DataFrame) -> DataFrame:
         """Per block its windows that a smaller id than one of its own holds, with the least id."""
-        told = found.repartition(parts, "h").select("h", "tag", "lo", "several", F.min("lo").over(Window.partitionBy("h", "tag")).alias("least"))
+        told = found.repartition(parts, "h").select("h", F.shiftrightunsigned("mark", 1).alias("tag"), "lo", (F.col("mark") % 2 != 0).alias("several"))
+        told = told.withColumn("least", F.min("lo").over(Window.partitionBy("h", "tag")))
         own = F.when(F.col("lo") == _LAST, F.lit(None)).otherwise(F.col("lo"))
         return told.filter("several OR least < lo").select(block_of(own).alias("block"), "h", "tag", F.col("least").alias("lo"))
 
