@@ -85,15 +85,16 @@ def strided(df: DataFrame, step: tuple[int, int, int]) -> DataFrame:
     return df.filter(keep[0] & keep[1] & keep[2]).select("tp", *((F.col(a) / s).cast("int").alias(a) for a, s in zip("zyx", step)), "v")
 
 
-def trilinear(df: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
+def trilinear(df: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], corner=lambda axis, i, t, n: N.source_corner(i, t, n)) -> DataFrame:
     """The volume sampled on another grid: half-pixel centres, edges repeated, missing voxels zero.
 
     Each target voxel names its eight corners with weights; one equi-join
-    fetches them and one sum puts them together.
+    fetches them and one sum puts them together.  ``corner`` gives the two
+    cells of an axis and the upper one's weight.
     """
     grid = df.select("tp").distinct()
-    for a, n, t in zip("zyx", shape, target):
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(t - 1)))).withColumn(f"s{a}", N.source_corner(F.col(a), t, n))
+    for k, (a, n, t) in enumerate(zip("zyx", shape, target)):
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(t - 1)))).withColumn(f"s{a}", corner(k, F.col(a), t, n))
     ends = lambda a: F.array(F.struct(F.col(f"s{a}.lo").alias("i"), (1 - F.col(f"s{a}.w")).alias("w")), F.struct(F.col(f"s{a}.hi").alias("i"), F.col(f"s{a}.w").alias("w")))
     corners = grid
     for a in "zyx":
