@@ -78,10 +78,44 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+# DuckDB has no CRC-32; the table of its 256 steps is made from the polynomial, and a text's bytes run through it.
+_LEADERBOARD = r"""
+WITH t AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) ORDER BY n) AS steps FROM (SELECT unnest(range(0, 256))::BIGINT AS n)
+),
+hashed AS (
+  SELECT l.*, xor(list_reduce(list_transform(string_split(concat_ws(',', coalesce(sale_id::VARCHAR, ''), coalesce(item_id::VARCHAR, ''), coalesce(vendor_id::VARCHAR, ''), coalesce(line_no::VARCHAR, '')), ''), lambda c: ascii(c)::BIGINT),
+    lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h
+  FROM sale_lines l CROSS JOIN t
+),
+shipped AS (SELECT *, coalesce(shipped_at::DATE - DATE '1970-01-01', 19723 + h % 150)::BIGINT AS s FROM hashed),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM shipped),
+cut AS (SELECT *, greatest(1, least(10, 1 + floor((a - 19723) * 10 / 180)))::INTEGER AS batch FROM arrived),
+latest AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut GROUP BY batch),
+counted AS (
+  SELECT v.nation_id, c.item_id, c.a, c.batch,
+    CASE WHEN flag = 'swapped' THEN -1.0 ELSE 1.0 END::DOUBLE * coalesce(floor(100::DOUBLE * amount + 0.5::DOUBLE), quantity * floor(100::DOUBLE * price + 0.5::DOUBLE), 0) AS cents
+  FROM cut c JOIN latest USING (batch) JOIN vendors v ON v.vendor_id = c.vendor_id JOIN items i ON i.item_id = c.item_id
+  WHERE v.nation_id IS NOT NULL AND NOT coalesce(s + 3 < before, false)
+),
+steps AS (SELECT nation_id, item_id, a, sum(sum(cents)) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS cents, lead(a, 1, 1000000) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS until FROM counted GROUP BY 1, 2, 3),
+days AS (SELECT nation_id, a, min(batch) AS batch, row_number() OVER (PARTITION BY nation_id ORDER BY a) AS k FROM counted GROUP BY 1, 2),
+held AS (SELECT d.nation_id, d.k, s.item_id, s.cents FROM days d JOIN steps s ON s.nation_id = d.nation_id AND s.a <= d.a AND d.a < s.until),
+ranks AS (SELECT nation_id, k, item_id, row_number() OVER (PARTITION BY nation_id, k ORDER BY cents DESC, item_id)::INTEGER AS rank FROM held WHERE cents > 0 QUALIFY rank <= 10),
+pairs AS (
+  SELECT coalesce(n.nation_id, o.nation_id) AS nation_id, coalesce(n.k, o.k + 1) AS k, coalesce(n.item_id, o.item_id) AS item_id, o.rank AS old_rank, n.rank AS new_rank
+  FROM ranks n FULL JOIN ranks o ON n.nation_id = o.nation_id AND n.item_id = o.item_id AND n.k = o.k + 1
+)
+SELECT p.nation_id, d.a AS arrival_day, p.item_id, d.batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank, new_rank, h.cents::BIGINT AS revenue
+FROM pairs p JOIN days d ON d.nation_id = p.nation_id AND d.k = p.k JOIN held h ON h.nation_id = p.nation_id AND h.k = p.k AND h.item_id = p.item_id
+WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
 ORACLES: dict[str, str] = {
     "op3_source_mixing": _SOURCE_MIXING,
     "op5_exact_dedup": _EXACT_DEDUP,
     "op6_decontamination": _DECONTAMINATION,
     "op8_warc": _WARC,
     "op10_substring_dedup": _SUBSTRING_DEDUP,
+    "op13_leaderboard_feed": _LEADERBOARD,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, html_text, leaderboard, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, warc
 from .oracles import ORACLES
 from .runtime import new_path, written
 
@@ -70,6 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op13_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.change_feed(*(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -81,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_leaderboard_feed": op13_leaderboard_feed,
 }

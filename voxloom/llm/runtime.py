@@ -48,18 +48,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
+    collect_garbage(spark)
+    return table
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are over, unless that was done just before."""
     if time.monotonic() - _cleaned[0] > CLEAN_SECONDS:
         spark.sparkContext._jvm.System.gc()
         _cleaned[0] = time.monotonic()
-    return table
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place, system = _folder(spark, path)
+    system.mkdirs(place)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder; False if there is none."""
+    place, system = _folder(spark, path)
+    return system.exists(place) and system.rename(place, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, system = _folder(spark, path)
+    system.delete(place, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table._written_at)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
