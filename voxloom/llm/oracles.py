@@ -78,6 +78,30 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INTEGER AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER AS b,
+    (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INTEGER AS c, regexp_matches(text, '[#$%&*|]')::INTEGER AS d, coalesce(least < doc_id, false)::INTEGER AS e
+  FROM d LEFT JOIN l USING (doc_id)
+),
+cells AS (SELECT part, [a, b, c, d, e] AS fails, a + b + c + d + e AS size, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS k),
+orders AS (
+  SELECT [p.k, q.k, r.k, s.k, t.k] AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5
+),
+steps AS (SELECT o, step FROM orders CROSS JOIN (SELECT unnest(range(1, 6)) AS step)),
+seen AS (SELECT s.o, s.step, c.*, fails[o[step]] AS here, len(list_filter(o[1 : step - 1], lambda k: fails[k] = 1)) AS before FROM steps s CROSS JOIN cells c)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k::INTEGER, 1)), '') AS filter_order, step::INTEGER AS step,
+  sum(CASE WHEN before = 0 AND here = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN before = 0 AND here = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN before > 0 AND here = 1 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN size = 1 AND here = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN before = 0 AND here = 1 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN before = 0 AND here = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN here = 1 THEN n * (120 // size) ELSE 0 END)::BIGINT AS shapley
+FROM seen GROUP BY part, o, step
+"""
+
 # DuckDB has no CRC-32; the table of its 256 steps is made from the polynomial, and a text's bytes run through it.
 _LEADERBOARD = r"""
 WITH t AS (
@@ -117,5 +141,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": _DECONTAMINATION,
     "op8_warc": _WARC,
     "op10_substring_dedup": _SUBSTRING_DEDUP,
+    "op12_filter_audit": _FILTER_AUDIT,
     "op13_leaderboard_feed": _LEADERBOARD,
 }
