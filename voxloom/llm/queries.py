@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, filter_audit, html_text, leaderboard, licenses, mixing, near_dedup, quality, substring_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, filter_audit, html_text, leaderboard, licenses, mixing, near_dedup, neighbours, quality, substring_dedup, token_counts, warc
 from .oracles import ORACLES
 from .runtime import new_path, written
 
@@ -70,6 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_filter_audit": op12_filter_audit,
     "op13_leaderboard_feed": op13_leaderboard_feed,
 }
