@@ -293,7 +293,8 @@ def _streaming(spark: SparkSession):
 def boards(stream: DataFrame, parts: int, fan_in: int = FAN_IN) -> DataFrame:
     """The change feed of a stream of :func:`feed`: leaves, then merging operators up to one a nation."""
     # a line waits three days: what was shipped more than that before the latest line of earlier batches is dropped
-    timely = stream.withWatermark("shipped", "3 days 1 millisecond").filter("nation_id is not null")
+    # (the filter names the time as well, as the optimizer would move it below the watermark, which all lines must reach)
+    timely = stream.withWatermark("shipped", "3 days 1 millisecond").filter("nation_id is not null or shipped is null")
     leaves = timely.withColumn("node", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).groupBy("nation_id", "node")
     reports = leaves.transformWithStateInPandas(Leaf(), _REPORT, "append", "eventTime", eventTimeColumnName="at")
     while parts > fan_in:
