@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from .cleaning import _beside
+from .cleaning import _beside, _beside_quantiles
 
 BINS = 65536
 #: The share of voxels cut off at either end is one in this many.
@@ -70,7 +70,7 @@ def mean_std(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
 
 def percentile_band(df: DataFrame, keys: list[str], value: str = "v", low: float = 0.9975, high: float = 0.999) -> DataFrame:
     """Rows strictly between two percentiles of their group."""
-    return _beside(df, keys, F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi")).filter((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_lo", "_hi")
+    return _beside_quantiles(df, keys, {"_lo": (F.col(value), low), "_hi": (F.col(value), high)}).filter((F.col(value) > F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_lo", "_hi")
 
 
 def contrast_clip(df: DataFrame, keys: list[str], value: str = "v", bins: int = 256, high: float = 255.0, cut: int = CUT) -> DataFrame:

@@ -53,8 +53,9 @@ _add(
     "local_background",
     _OBJECTS + ", axis AS (SELECT unnest(range(-4, 5)) AS d), shell AS (SELECT a.d AS a, b.d AS b, c.d AS c FROM axis a, axis b, axis c WHERE a.d * a.d + b.d * b.d + c.d * c.d BETWEEN 5 AND 16), "
     "seen AS (SELECT p.tp, p.label, q.v FROM (SELECT o.tp, o.label, o.z + s.a AS z, o.y + s.b AS y, o.x + s.c AS x FROM o, shell s WHERE o.label <> 0) p JOIN (SELECT * FROM o WHERE label = 0) q USING (tp, z, y, x)), "
-    "bg AS (SELECT tp, label, avg(v) AS b FROM seen GROUP BY tp, label), m AS (SELECT tp, label, count(*) AS volume, sum(v) AS total FROM o WHERE label <> 0 GROUP BY tp, label) "
-    "SELECT tp, label, volume, round(coalesce(b, 0), 2) AS background, round(total / volume - coalesce(b, 0), 2) AS corrected_mean, round(total - coalesce(b, 0) * volume, 2) AS corrected_total FROM m LEFT JOIN bg USING (tp, label)",
+    "bg AS (SELECT tp, label, avg(v) AS b FROM seen GROUP BY tp, label), m AS (SELECT tp, label, count(*) AS volume, sum(v) AS total FROM o WHERE label <> 0 GROUP BY tp, label), "
+    "r AS (SELECT tp, label, volume, coalesce(b, 0) AS b, total / volume - coalesce(b, 0) AS c, total - coalesce(b, 0) * volume AS t FROM m LEFT JOIN bg USING (tp, label)) "
+    "SELECT tp, label, volume, round(b + 1e-9 + abs(b) * 1e-12, 2) AS background, round(c + 1e-9 + abs(c) * 1e-12, 2) AS corrected_mean, round(t + 1e-9 + abs(t) * 1e-12, 2) AS corrected_total FROM r",
     "mask", "voxel",
 )
 _add(

@@ -64,7 +64,9 @@ def particle_medians(spark, sf):
 
 @query
 def local_background(spark, sf):
-    return objects.local_background(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "volume", *_r("background", "corrected_mean", "corrected_total", digits=2))
+    # sums of millions need a larger shift than _r's, which is lost in their last places
+    shifted = [F.round(F.col(n) + 1e-9 + F.abs(n) * 1e-12, 2).alias(n) for n in ("background", "corrected_mean", "corrected_total")]
+    return objects.local_background(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "volume", *shifted)
 
 
 @query

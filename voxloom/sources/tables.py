@@ -49,11 +49,6 @@ def write_tracks(rows: DataFrame, path: str) -> None:
     rows.select("track_id", "start", "t", "x", "y", "z", "A", "track_length").repartitionByRange("track_id").sortWithinPartitions("track_id", "t").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_shards(rows: DataFrame, path: str, most: int) -> None:
-    """Append to a table in files of at most ``most`` rows."""
-    rows.write.mode("append").option("maxRecordsPerFile", most).parquet(path)
-
-
 def append_ledger(names: DataFrame, ledger: DataFrame, path: str) -> None:
     """Append the names that the ledger lacks."""
     names.select("value").distinct().join(ledger.select("value"), "value", "left_anti").write.mode("append").text(path)
