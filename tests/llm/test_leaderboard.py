@@ -75,6 +75,13 @@ def test_a_tree_of_boards(spark, tables):
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
 
 
+def test_one_leaf_a_nation(tables):
+    lines, vendors, items = make(700, seed=9)
+    vendors = [v for v in vendors if v[0] is not None]
+    got = lb.change_feed(*tables(lines, vendors, items), batches=2)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(lines, vendors, items, 2)
+
+
 def test_no_lines(tables):
     lines, vendors, items = make(10)
     frames = tables(lines, vendors, items)

@@ -7,6 +7,8 @@ revenues of its items and reports what changed on its own ten best; a merging
 operator keeps a board of what at most ``FAN_IN`` children report, and the last
 one is the nation's.  A nation's ten best are among the ten best of its parts,
 so only those go on, and no task sees a nation's lines, however many they are.
+The tree is as deep as the number of items asks for: where all fit one leaf,
+that is the nation's board.
 Spark's watermark drops late lines.
 """
 
@@ -30,7 +32,7 @@ PLACES = 10
 FIRST_DAY, DAYS = 19723, 180
 DAY_MS = 86_400_000
 #: Items of a nation that one leaf keeps, on average, and children that one merging operator hears.
-LEAF_ITEMS, FAN_IN = 32768, 64
+LEAF_ITEMS, FAN_IN = 65536, 64
 #: Copies of the tables of vendors and items that lines are dealt to, so that a frequent vendor or item goes to as many tasks.
 VENDOR_SALTS, ITEM_SALTS = 16, 8
 #: Items that a leaf's ordered list holds after it was filled, and parcels of changes that it keeps before they are added up.
@@ -161,14 +163,18 @@ class Leaf(StatefulProcessor):
 
     The map state holds parcels of changes (sorted items, cents); after
     ``PARCELS`` of them they are added up into one, so what a batch writes
-    follows what it changed.
+    follows what it changed.  The only leaf of a nation (``last``) gives the
+    changes of ranks, and saves its board.
     """
 
+    def __init__(self, last: bool = False):
+        self.last = last
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.parcels = handle.getMapState("revenues", "parcel int", "items binary, cents binary")
+        self.board = handle.getValueState("board", "items binary") if self.last else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        nation, node = key
         item, day, shipped, batch, cents = _arrays(rows, "item_id", "arrival_day", "shipped_day", "batch", "cents")
         # Spark itself drops late rows by the watermark of one batch before, so that operators in a row agree on it
         timely = shipped.astype(np.int64) * DAY_MS > timerValues.getCurrentWatermarkInMs()
@@ -184,12 +190,20 @@ class Leaf(StatefulProcessor):
         order = np.argsort(day, kind="stable")
         place, day, batch, cents = place[order], day[order], batch[order], cents[order]
         out, before = [], ranking.best()
+        if self.last and self.board.exists():
+            before = {i: before[i] for i in np.frombuffer(self.board.get()[0], np.int64).tolist()}
+        revenue = lambda i: float(totals[np.searchsorted(items, i)])
         for d, rows_of in _days(day):
             at, back = np.unique(place[rows_of], return_inverse=True)
             ranking.add(at, np.bincount(back, cents[rows_of], len(at)))
             now = ranking.best()
-            out += [(nation, node, i, int(batch[rows_of.start]), d, c, on) for i, c, on in _differences(before, now, lambda i: float(totals[np.searchsorted(items, i)]))]
+            if self.last:
+                out += [(key[0], d, int(batch[rows_of.start]), *c) for c in _moves(list(before), list(now), revenue)]
+            else:
+                out += [(key[0], key[1], i, int(batch[rows_of.start]), d, c, on) for i, c, on in _differences(before, now, revenue)]
             before = now
+        if self.last:
+            self.board.update((np.array(list(before), np.int64).tobytes(),))
         if len(kept) >= PARCELS:
             for k in kept:
                 self.parcels.removeKey((k,))
@@ -197,7 +211,7 @@ class Leaf(StatefulProcessor):
         elif len(changed := np.flatnonzero(totals != start)):
             self.parcels.updateValue((max(kept, default=-1) + 1,), (items[changed].tobytes(), (totals - start)[changed].tobytes()))
         if out:
-            yield _reports(out)
+            yield _changes(out) if self.last else _reports(out)
 
     def close(self) -> None:
         pass
@@ -295,6 +309,8 @@ def boards(stream: DataFrame, parts: int, fan_in: int = FAN_IN) -> DataFrame:
     # a line waits three days: what was shipped more than that before the latest line of earlier batches is dropped
     # (the filter names the time as well, as the optimizer would move it below the watermark, which all lines must reach)
     timely = stream.withWatermark("shipped", "3 days 1 millisecond").filter("nation_id is not null or shipped is null")
+    if parts == 1:
+        return timely.groupBy("nation_id").transformWithStateInPandas(Leaf(last=True), _CHANGES, "append", "eventTime")
     leaves = timely.withColumn("node", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).groupBy("nation_id", "node")
     reports = leaves.transformWithStateInPandas(Leaf(), _REPORT, "append", "eventTime", eventTimeColumnName="at")
     while parts > fan_in:
