@@ -99,12 +99,87 @@ def means(points: DataFrame, assigned: DataFrame) -> DataFrame:
     return m.select("k", unit(F.col("s.m")).alias("vec"))
 
 
-def kmeans(points: DataFrame, centroids: DataFrame, rounds: int = 10, tol: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """(assignment, centroids) after Lloyd rounds from given centroids; an empty cluster keeps its centroid."""
+def spread_centroids(points: DataFrame, clusters: int, rounds: int = 5, oversampling: float = 2.0, seed: str = "0") -> DataFrame:
+    """(k, vec): ``clusters`` points that lie apart, drawn with chances by squared distance in a few passes.
+
+    Each pass draws ``oversampling * clusters`` points at once, by the least of
+    exponential keys (-log(u) / distance squared, u from a hash of id and
+    pass): a draw without replacement with those chances.  Distances to the
+    nearest draw are kept between passes, so a pass meets only the new draws.
+    The candidates, weighed by how many points are nearest to them, are drawn
+    down to ``clusters`` one after the other; there are at most 1 + rounds *
+    oversampling * clusters of them, so that is done in the driver.  Distances
+    are cosine distances; the result depends on ids and seed only.  Fewer
+    points than ``clusters`` give as many centroids as there are different
+    points.
+    """
+    each = max(1, int(oversampling * clusters))
+    if 1 + rounds * each > MOST_CENTROIDS:
+        raise ValueError("too many candidates: take fewer clusters, rounds or less oversampling")
+    u = lambda r: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-{r}"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") + 1.0) / float(16**12)
+    known = points.select("id", unit(F.col("vec")).alias("vec")).withColumn("distance", F.lit(None).cast("double")).withColumn("nearest", F.lit(None).cast("int"))
+    drawn: list = []
+    fresh = known.orderBy(u(0), "id").limit(1).select("vec").collect()
+    for r in range(1, rounds + 2):
+        if not fresh:
+            break
+        first = len(drawn)
+        drawn += [row.vec for row in fresh]
+        # the draws are a bounded list of this job's making, not of the data's size
+        new = known.sparkSession.createDataFrame([(k, v) for k, v in enumerate(drawn[first:], first)], "k int, vec array<double>")
+        listed = new.agg(F.array_sort(F.collect_list(F.struct("k", "vec"))).alias("_new"))
+        best = F.array_min(F.transform("_new", lambda c: F.struct(F.greatest(F.lit(0.0), 1.0 - N.dot(F.col("vec"), c["vec"])).alias("d"), c["k"].alias("k"))))
+        met = known.join(F.broadcast(listed)).withColumn("_best", best)  # one row
+        closer = F.col("distance").isNull() | (F.col("_best.d") < F.col("distance"))
+        known = cut(met.select("id", "vec", F.when(closer, F.col("_best.d")).otherwise(F.col("distance")).alias("distance"), F.when(closer, F.col("_best.k")).otherwise(F.col("nearest")).alias("nearest")))
+        if r <= rounds:
+            race = -F.log(u(r)) / (F.col("distance") * F.col("distance"))
+            fresh = known.filter("distance > 1e-12").orderBy(race, "id").limit(each).select("vec").collect()
+    weights = np.zeros(len(drawn))
+    for row in known.groupBy("nearest").count().collect():  # a row a candidate
+        weights[row["nearest"]] = row["count"]
+    chosen = _drawn_down(np.array(drawn), weights, clusters, seed) if drawn else []
+    return points.sparkSession.createDataFrame([(k, [float(x) for x in drawn[c]]) for k, c in enumerate(chosen)], "k int, vec array<double>")
+
+
+def _drawn_down(candidates: np.ndarray, weights: np.ndarray, clusters: int, seed: str) -> list[int]:
+    """Places of ``clusters`` candidates, each drawn by weight times squared distance to those before; of some tries the one that helps most."""
+    import zlib
+
+    rnd = np.random.default_rng(zlib.crc32(seed.encode()))
+    gaps = np.maximum(0.0, 1.0 - candidates @ candidates.T) ** 2
+    chosen = [int(rnd.choice(len(candidates), p=weights / weights.sum()))]
+    cost = gaps[chosen[0]]
+    tries = 2 + int(np.log(max(1, clusters)))
+    while len(chosen) < clusters and (weights * cost).sum() > 1e-18:
+        chance = weights * cost
+        some = rnd.choice(len(candidates), size=tries, p=chance / chance.sum())
+        best = min(some, key=lambda c: ((weights * np.minimum(cost, gaps[c])).sum(), c))
+        chosen.append(int(best))
+        cost = np.minimum(cost, gaps[best])
+    return chosen
+
+
+def kmeans(points: DataFrame, centroids: DataFrame, rounds: int = 10, tol: float = 1e-6, reseed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(assignment, centroids) after Lloyd rounds from given centroids.
+
+    An empty cluster keeps its centroid or, with ``reseed``, takes the point
+    farthest from its centroid: of e empty ones each another of the e farthest.
+    """
     now = cut(centroids.select("k", unit(F.col("vec")).alias("vec")))
     for _ in range(rounds):
-        made = means(points, assign(points, now))
-        nxt = cut(now.join(made.withColumnRenamed("vec", "new"), "k", "left").select("k", F.coalesce("new", "vec").alias("vec")))
+        near = assign(points, now)
+        if reseed:
+            near = cut(near)
+        both = now.join(means(points, near).withColumnRenamed("vec", "new"), "k", "left").select("k", F.coalesce("new", "vec").alias("vec"), F.isnull("new").alias("empty"))
+        nxt = cut(both)
+        empty = [r.k for r in nxt.filter("empty").select("k").orderBy("k").collect()] if reseed else []  # no more than there are centroids
+        if empty:
+            far = points.join(near.filter("distance > 1e-12").orderBy(F.desc("distance"), "id").limit(len(empty)), "id").select("vec", "distance", "id")
+            seats = far.orderBy(F.desc("distance"), "id").collect()
+            taken = points.sparkSession.createDataFrame([(k, [float(x) for x in s.vec]) for k, s in zip(empty, seats)], "k int, new array<double>")
+            nxt = cut(nxt.join(F.broadcast(taken), "k", "left").select("k", F.coalesce(unit(F.col("new")), "vec").alias("vec")))
+        nxt = nxt.select("k", "vec")
         moved = nxt.join(now.withColumnRenamed("vec", "old"), "k").select(F.aggregate(F.zip_with("vec", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d")).agg(F.sum("d")).first()[0]
         now = nxt
         if (moved or 0.0) <= tol:

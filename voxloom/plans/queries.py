@@ -567,4 +567,4 @@ def total_loss(spark, sf):
     return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
 
 
-from . import more, outputs, resampled  # noqa: E402, F401  registers its queries too
+from . import more, outputs, resampled, stores  # noqa: E402, F401  registers its queries too

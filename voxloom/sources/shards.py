@@ -226,6 +226,15 @@ def read_shards(spark: SparkSession, pattern: str, draws: int = 0, seed: str = "
     return (reader.option("draws", draws) if draws else reader).load(pattern)
 
 
+def written_shards(path: str) -> str:
+    """The shards of a folder, in order, as a pattern that :func:`read_shards` takes."""
+    from pyarrow import fs
+
+    system, inside = file_system(path)
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inside, allow_not_found=True)) if _NAME.search(f.path))
+    return "::".join(f"{path.rstrip('/')}/{n}" for n in names)
+
+
 def write_shards(samples: DataFrame, path: str, maxsize: int = 10**9, overwrite: bool = False) -> None:
     """Add samples (key, files) to the shards of a folder, numbered after the last one there.
 
