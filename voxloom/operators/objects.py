@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,11 +73,59 @@ def local_background(voxels: DataFrame, mask: DataFrame, radius: int = 4, inner:
     )
 
 
-def matched_background(voxels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Per object the mean of as many background voxels, disjoint slices in raster order; null when they run out."""
-    background = labelled(voxels, mask.filter("label = 0")).withColumn("n", F.row_number().over(Window.partitionBy("tp").orderBy("z", "y", "x")) - 1).select("tp", "n", "v")
-    order = Window.partitionBy("tp").orderBy("label")
+#: Places of the raster order that a block of slices and voxels shares.
+BLOCK = 4096
+
+
+def raster_places(voxels: DataFrame) -> DataFrame:
+    """``voxels`` with ``n``: the place (from 0) in raster order among those of their time point.
+
+    Counts of lines are added up within slices and those of slices within time
+    points, so no window is longer than one side of a volume.
+    """
+    lines = voxels.groupBy("tp", "z", "y").agg(F.count(F.lit(1)).alias("_line"))
+    slices = lines.groupBy("tp", "z").agg(F.sum("_line").alias("_slice"))
+    upto = lambda size, keys, order: F.sum(size).over(Window.partitionBy(*keys).orderBy(order)) - F.col(size)
+    slices = slices.select("tp", "z", upto("_slice", ["tp"], "z").alias("_above"))
+    lines = lines.select("tp", "z", "y", upto("_line", ["tp", "z"], "y").alias("_before")).join(slices, ["tp", "z"])
+    in_line = F.row_number().over(Window.partitionBy("tp", "z", "y").orderBy("x")) - 1
+    return voxels.withColumn("_in", in_line).join(lines, ["tp", "z", "y"]).withColumn("n", F.col("_above") + F.col("_before") + F.col("_in")).drop("_above", "_before", "_in")
+
+
+def _slices(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each object's slice begins; null for one that no longer fits, after which smaller ones still may."""
+    for t in tables:
+        for tp, total, sizes in zip(t["tp"], t["total"], t["sizes"]):
+            start, rows = 0, []
+            for s in sizes:
+                fits = start + s["volume"] <= total
+                rows.append((tp, s["label"], s["volume"], total, start if fits else None))
+                start += s["volume"] * fits
+            yield pd.DataFrame(rows, columns=["tp", "label", "volume", "total", "begin"]).astype({"begin": "Int64"})
+
+
+def matched_background(voxels: DataFrame, mask: DataFrame, seed: str = "background") -> DataFrame:
+    """Per object (tp, label) as many background voxels as it has itself: ``drawn``, whether they were ``redrawn``, and their mean ``background``.
+
+    Objects take disjoint slices of the background in raster order, one after
+    the other by label.  One that finds fewer voxels left draws from the whole
+    background with replacement, by a hash of time point, label and count; it
+    takes nothing away from later ones.  Without background nothing is drawn
+    and the mean is null.  Slices meet voxels by blocks of ``BLOCK`` places;
+    only the sizes of a volume's objects are gathered, never its voxels.
+    """
+    background = raster_places(labelled(voxels, mask.filter("label = 0"))).select("tp", "n", "v")
+    totals = background.groupBy("tp").agg(F.count(F.lit(1)).alias("total"))
     sizes = mask.filter("label <> 0").groupBy("tp", "label").agg(F.count(F.lit(1)).alias("volume"))
-    slices = sizes.select("tp", "label", "volume", (F.sum("volume").over(order) - F.col("volume")).alias("begin"))
-    wanted = slices.select("tp", "label", F.explode(F.expr("sequence(begin, begin + volume - 1)")).alias("n"))
-    return wanted.join(background, ["tp", "n"], "left").groupBy("tp", "label").agg(F.count("v").alias("drawn"), F.avg("v").alias("background"))
+    listed = sizes.groupBy("tp").agg(F.array_sort(F.collect_list(F.struct(F.col("label").cast("long").alias("label"), "volume"))).alias("sizes"))
+    told = listed.join(totals, "tp", "left").select("tp", F.coalesce("total", F.lit(0)).alias("total"), "sizes")
+    kind = mask.schema["tp"].dataType.simpleString()
+    slices = told.mapInPandas(_slices, f"tp {kind}, label long, volume long, total long, begin long")
+    block = lambda n: F.floor(n / BLOCK)
+    fitting = slices.filter("begin is not null").withColumn("b", F.explode(F.sequence(block(F.col("begin")), block(F.col("begin") + F.col("volume") - 1))))
+    taken = fitting.join(background.withColumn("b", block(F.col("n"))), ["tp", "b"]).filter("n >= begin and n < begin + volume").select("tp", "label", "v")
+    again = slices.filter("begin is null and total > 0").withColumn("j", F.explode(F.expr("sequence(0, volume - 1)")))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("tp").cast("string"), F.col("label").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("total")
+    drawn = again.withColumn("n", place).join(background, ["tp", "n"]).select("tp", "label", "v")
+    means = taken.unionByName(drawn).groupBy("tp", "label").agg(F.count("v").alias("drawn"), F.avg("v").alias("background"))
+    return slices.join(means, ["tp", "label"], "left").select("tp", "label", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("begin").isNull() & (F.col("total") > 0)).alias("redrawn"), "background")

@@ -60,9 +60,13 @@ _add(
 )
 _add(
     "matched_background",
-    _OBJECTS + ", bg AS (SELECT tp, v, row_number() OVER (PARTITION BY tp ORDER BY z, y, x) - 1 AS n FROM o WHERE label = 0), "
-    "s AS (SELECT tp, label, count(*) AS volume FROM mask WHERE label <> 0 GROUP BY tp, label), w AS (SELECT tp, label, volume, sum(volume) OVER (PARTITION BY tp ORDER BY label) - volume AS b FROM s) "
-    "SELECT w.tp, w.label, count(bg.v) AS drawn, round(avg(bg.v), 2) AS background FROM w LEFT JOIN bg ON bg.tp = w.tp AND bg.n >= w.b AND bg.n < w.b + w.volume GROUP BY w.tp, w.label",
+    _OBJECTS + ", bg AS (SELECT tp, v, row_number() OVER (PARTITION BY tp ORDER BY z, y, x) - 1 AS n FROM o WHERE label = 0), t AS (SELECT tp, count(*) AS total FROM bg GROUP BY tp), "
+    "s AS (SELECT tp, list({'label': label, 'volume': volume, 'begin': NULL::BIGINT, 'start': 0::BIGINT} ORDER BY label) AS sizes, coalesce(any_value(total), 0) AS total FROM (SELECT tp, label::BIGINT AS label, count(*) AS volume FROM mask WHERE label <> 0 GROUP BY tp, label) LEFT JOIN t USING (tp) GROUP BY tp), "
+    "f AS (SELECT tp, total, list_reduce(list_transform(sizes, lambda e: [e]), lambda done, e: done || [{'label': e[1].label, 'volume': e[1].volume, 'begin': CASE WHEN done[-1].start + e[1].volume <= total THEN done[-1].start END, 'start': done[-1].start + CASE WHEN done[-1].start + e[1].volume <= total THEN e[1].volume ELSE 0 END}], "
+    "[{'label': -1::BIGINT, 'volume': 0::BIGINT, 'begin': NULL::BIGINT, 'start': 0::BIGINT}]) AS done FROM s), "
+    "w AS (SELECT tp, total, done.label AS label, done.volume AS volume, done.begin AS begin FROM (SELECT tp, total, unnest(done) AS done FROM f)), "
+    "p AS (SELECT tp, label, total, begin, CASE WHEN begin IS NOT NULL THEN begin + j WHEN total > 0 THEN ('0x' || substr(md5('background:' || tp || ':' || label || ':' || j), 1, 12))::BIGINT % total END AS n FROM (SELECT *, unnest(range(0, volume)) AS j FROM w WHERE label >= 0)) "
+    "SELECT p.tp, p.label, count(bg.v) AS drawn, bool_and(begin IS NULL AND total > 0) AS redrawn, round(avg(bg.v), 2) AS background FROM p LEFT JOIN bg ON bg.tp = p.tp AND bg.n = p.n GROUP BY p.tp, p.label",
     "mask", "voxel",
 )
 _add(

@@ -71,7 +71,7 @@ def local_background(spark, sf):
 
 @query
 def matched_background(spark, sf):
-    return objects.matched_background(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "drawn", *_r("background", digits=2))
+    return objects.matched_background(view(spark, sf, "voxel"), view(spark, sf, "mask")).select("tp", "label", "drawn", "redrawn", *_r("background", digits=2))
 
 
 # -- cleaning and scaling -----------------------------------------------------------------------------------------
