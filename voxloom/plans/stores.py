@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
-from ..operators import masks, vectors
+from ..operators import crops, masks, vectors
 from ..sources import shards, token_store
 from ..streaming import job_state
 from .more import _sql
-from .queries import _r, query
+from .queries import SHAPE, _r, query
 from .views import table, view
 
 
@@ -99,3 +99,20 @@ def kmeans_spread(spark, sf):
     points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     near, _ = vectors.kmeans(points, vectors.spread_centroids(points, 10), rounds=5, reseed=True)
     return near.select("id", "k", *_r("distance"))
+
+
+@query
+def nearest_seeds(spark, sf):
+    """Bright voxels by the nearest of the brightest ones, numbered by place."""
+    v = view(spark, sf, "voxel")
+    seeds = v.filter("v > 75000 and (z + y + x) % 5 = 0").select("tp", "z", "y", "x", (F.col("z") * 10000 + F.col("y") * 100 + F.col("x")).alias("label"))
+    return crops.nearest_seed(v.filter("v > 40000"), seeds, SHAPE)
+
+
+_sql(
+    "nearest_seeds",
+    "WITH s AS (SELECT *, z * 10000 + y * 100 + x AS label FROM voxel WHERE v > 75000 AND (z + y + x) % 5 = 0), "
+    "p AS (SELECT c.tp, c.z, c.y, c.x, min({'far': (c.z - s.z) ** 2 + (c.y - s.y) ** 2 + (c.x - s.x) ** 2, 'label': s.label}) AS m FROM voxel c JOIN s USING (tp) WHERE c.v > 40000 GROUP BY ALL) "
+    "SELECT tp, z, y, x, m.far::BIGINT AS far, m.label::BIGINT AS label FROM p",
+    "voxel",
+)
