@@ -178,23 +178,31 @@ _add(
     "WITH m AS (SELECT tp::INT - 1991 AS t, label, z, y, x FROM mask WHERE label <> 0), g AS (SELECT t, label, count(*) AS volume, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, min(z) AS z0, min(y) AS y0, min(x) AS x0, "
     "least(max(z) - min(z), max(y) - min(y), max(x) - min(x)) AS thin FROM m GROUP BY t, label), "
     "p AS (SELECT a.t, a.label AS ref, b.label AS cand, a.volume + b.volume AS vols, least(a.thin, b.thin) AS thin, (round_even((a.cz - a.z0) - (b.cz - b.z0), 0) + a.z0 - b.z0)::INT AS oz, (round_even((a.cy - a.y0) - (b.cy - b.y0), 0) + a.y0 - b.y0)::INT AS oy, (round_even((a.cx - a.x0) - (b.cx - b.x0), 0) + a.x0 - b.x0)::INT AS ox "
-    "FROM g a JOIN g b ON b.t = a.t + 1 AND abs(a.label - b.label) <= 1), "
+    "FROM g a JOIN g b ON b.t = a.t + 1 AND abs(a.cy - b.cy) <= 12 AND abs(a.cx - b.cx) <= 12 AND abs(a.cz - b.cz) <= 3), "
     "n AS (SELECT p.t, p.ref, p.cand, count(*) AS overlap FROM p JOIN m c ON c.t = p.t + 1 AND c.label = p.cand JOIN m r ON r.t = p.t AND r.label = p.ref AND r.z = c.z + p.oz AND r.y = c.y + p.oy AND r.x = c.x + p.ox WHERE p.thin >= 1 GROUP BY p.t, p.ref, p.cand) "
     "SELECT t, ref, cand, coalesce(overlap, 0)::INT AS overlap, round((2.0 * coalesce(overlap, 0) / vols)::FLOAT::DOUBLE, 5) AS dice FROM p LEFT JOIN n USING (t, ref, cand)",
     "mask",
 )
 _FEATURES = (
-    "WITH f AS (SELECT t, label, (p // 8)::INT AS c, p % 8 AS k, f::DOUBLE AS f FROM (SELECT t, label, unnest(feat) AS f, unnest(range(0, 64)) AS p FROM feat)), "
-    "s AS (SELECT a.t, a.label AS ref, b.label AS cand, a.c, count(*) AS n, sum(a.f) AS sa, sum(b.f) AS sb, sum(a.f * a.f) AS saa, sum(b.f * b.f) AS sbb, sum(a.f * b.f) AS sab, avg((a.f - b.f) * (a.f - b.f)) AS mse "
-    "FROM f a JOIN f b ON b.t = a.t + 1 AND abs(a.label - b.label) <= 2 AND a.c = b.c AND a.k = b.k GROUP BY 1, 2, 3, 4), "
-    "q AS (SELECT t, ref, cand, c, CASE WHEN saa - sa * sa / n > 1e-12 AND sbb - sb * sb / n > 1e-12 THEN (sab - sa * sb / n) / sqrt((saa - sa * sa / n) * (sbb - sb * sb / n)) END AS corr, mse, (abs(ref - cand) + cand / 1000.0)::FLOAT AS dist FROM s) "
+    "WITH f AS (SELECT t, label, (p // 8)::INT AS c, p % 8 AS k, p, f::DOUBLE AS f FROM (SELECT t, label, unnest(feat) AS f, unnest(range(0, 64)) AS p FROM feat)), "
+    "o AS (SELECT t, label, feat[1]::DOUBLE * 100 AS cy, feat[2]::DOUBLE * 100 AS cx, feat[3]::DOUBLE * 100 AS cz FROM feat), "
+    "near AS (SELECT a.t, a.label AS ref, b.label AS cand, sqrt((a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx) + 2.5 * (a.cz - b.cz) * (a.cz - b.cz))::FLOAT AS dist FROM o a JOIN o b ON b.t = a.t + 1 AND abs(a.cy - b.cy) <= 20 AND abs(a.cx - b.cx) <= 20 AND abs(a.cz - b.cz) <= 10), "
+    "m AS (SELECT t, label, p // 16 AS z, p // 4 % 4 AS y, p % 4 AS x FROM f WHERE f > 0), "
+    "g AS (SELECT t, label, count(*) AS volume, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, min(z) AS z0, min(y) AS y0, min(x) AS x0, least(max(z) - min(z), max(y) - min(y), max(x) - min(x)) AS thin FROM m GROUP BY t, label), "
+    "p AS (SELECT near.*, a.volume + b.volume AS vols, least(a.thin, b.thin) AS thin, (round_even((a.cz - a.z0) - (b.cz - b.z0), 0) + a.z0 - b.z0)::INT AS oz, (round_even((a.cy - a.y0) - (b.cy - b.y0), 0) + a.y0 - b.y0)::INT AS oy, (round_even((a.cx - a.x0) - (b.cx - b.x0), 0) + a.x0 - b.x0)::INT AS ox "
+    "FROM near JOIN g a ON a.t = near.t AND a.label = ref JOIN g b ON b.t = near.t + 1 AND b.label = cand), "
+    "n AS (SELECT p.t, p.ref, p.cand, count(*) AS overlap FROM p JOIN m c ON c.t = p.t + 1 AND c.label = p.cand JOIN m r ON r.t = p.t AND r.label = p.ref AND r.z = c.z + p.oz AND r.y = c.y + p.oy AND r.x = c.x + p.ox WHERE p.thin >= 1 GROUP BY p.t, p.ref, p.cand), "
+    "d AS (SELECT t, ref, cand, dist, (2.0 * coalesce(overlap, 0) / vols)::FLOAT AS dice FROM p LEFT JOIN n USING (t, ref, cand)), "
+    "s AS (SELECT d.t, d.ref, d.cand, any_value(d.dist) AS dist, any_value(d.dice) AS dice, a.c, count(*) AS n, sum(a.f) AS sa, sum(b.f) AS sb, sum(a.f * a.f) AS saa, sum(b.f * b.f) AS sbb, sum(a.f * b.f) AS sab, avg((a.f - b.f) * (a.f - b.f)) AS mse "
+    "FROM d JOIN f a ON a.t = d.t AND a.label = d.ref JOIN f b ON b.t = d.t + 1 AND b.label = d.cand AND a.c = b.c AND a.k = b.k GROUP BY d.t, d.ref, d.cand, a.c), "
+    "q AS (SELECT t, ref, cand, c, dist, dice, CASE WHEN saa - sa * sa / n > 1e-12 AND sbb - sb * sb / n > 1e-12 THEN (sab - sa * sb / n) / sqrt((saa - sa * sa / n) * (sbb - sb * sb / n)) END AS corr, mse FROM s) "
 )
 _add("pair_feature_mse_corr", _FEATURES + "SELECT t, ref, cand, c, round(corr, 5) AS corr, round(mse, 5) AS mse FROM q", "feat")
 _add(
     "feature_votes",
-    _FEATURES + ", w AS (SELECT t, ref, c, arg_min(cand, (mse, dist, cand)) AS cand FROM q WHERE corr > 0 GROUP BY t, ref, c), "
-    "n AS (SELECT t, ref, cand, count(*) AS wins FROM w GROUP BY t, ref, cand), d AS (SELECT DISTINCT t, ref, cand, dist FROM q) "
-    "SELECT t, ref, cand, wins, row_number() OVER (PARTITION BY t, ref ORDER BY wins DESC, dist, cand) AS rank FROM n JOIN d USING (t, ref, cand)",
+    _FEATURES + ", w AS (SELECT t, ref, c, arg_min(cand, (mse, dist, cand)) AS cand FROM q WHERE corr > 0 AND dice > 0.5 GROUP BY t, ref, c), "
+    "k AS (SELECT t, ref, cand, count(*) AS wins FROM w GROUP BY t, ref, cand) "
+    "SELECT t, ref, cand, wins, row_number() OVER (PARTITION BY t, ref ORDER BY wins DESC, dist, cand) AS rank FROM k JOIN d USING (t, ref, cand)",
     "feat",
 )
 _LINKS = _CANDIDATES + (

@@ -228,17 +228,20 @@ def _frame_mask(spark, sf):
 def mask_overlap_dice(spark, sf):
     m = _frame_mask(spark, sf)
     g = objects.geometry(m.withColumnRenamed("t", "tp")).withColumnRenamed("tp", "t")
-    pairs = g.select("t", F.col("label").alias("ref")).join(g.select((F.col("t") - 1).alias("t"), F.col("label").alias("cand")), "t").filter("abs(ref - cand) <= 1")
+    pairs = matching.candidates(g, 12.0, 3.0, 2.5)
     return matching.overlap_dice(pairs, m, g).select("t", "ref", "cand", "overlap", *_r("dice", digits=5))
 
 
 def _feature_pairs(spark, sf):
-    """Pairs of the vector view with labels at most two apart, and their features: eight samples of eight channels."""
+    """Candidates of the vector view by centroids (the first three numbers), with the dice of their masks (where each of 4 x 4 x 4 numbers is positive), and their features: eight samples of eight channels."""
     f = view(spark, sf, "feat").select("t", "label", F.posexplode("feat").alias("p", "f"))
     samples = f.select("t", "label", F.floor(F.col("p") / 8).cast("int").alias("c"), (F.col("p") % 8).alias("k"), "f")
-    o = view(spark, sf, "feat").select("t", "label")
-    pairs = o.select("t", F.col("label").alias("ref")).join(o.select((F.col("t") - 1).alias("t"), F.col("label").alias("cand")), "t").filter("abs(ref - cand) <= 2")
-    pairs = pairs.withColumn("dist", (F.abs(F.col("ref") - F.col("cand")) + F.col("cand") / 1000.0).cast("float")).withColumn("dice", F.lit(0.8))
+    centre = lambda k: F.col("feat")[k].cast("double") * 100
+    o = view(spark, sf, "feat").select("t", "label", centre(0).alias("cy"), centre(1).alias("cx"), centre(2).alias("cz"))
+    m = f.filter("f > 0").select("t", "label", F.floor(F.col("p") / 16).cast("int").alias("z"), (F.floor(F.col("p") / 4) % 4).cast("int").alias("y"), (F.col("p") % 4).alias("x"))
+    g = objects.geometry(m.withColumnRenamed("t", "tp")).withColumnRenamed("tp", "t")
+    near = matching.candidates(o, 20.0, 10.0, 2.5)
+    pairs = near.join(matching.overlap_dice(near, m, g).select("t", "ref", "cand", "dice"), ["t", "ref", "cand"])
     return pairs, matching.pair_features(pairs, samples)
 
 
@@ -262,7 +265,7 @@ def greedy_match(spark, sf):
 @query
 def assign_pairs(spark, sf):
     pairs, features = _feature_pairs(spark, sf)
-    return matching.assign(pairs, features, 0.03, [3, 2], 0.5, 0.0).select("t", "ref", "cand", "method", *_r("distance", digits=4), "wins")
+    return matching.assign(pairs, features, 8.0, [3, 2], 0.5, 0.0).select("t", "ref", "cand", "method", *_r("distance", digits=4), "wins")
 
 
 @query
