@@ -182,6 +182,14 @@ def patchify(df: DataFrame, p: int) -> DataFrame:
     return parts.groupBy("tp", "pz", "py", "px").agg(F.array_sort(F.collect_list("s")).alias("s")).select("tp", "pz", "py", "px", F.col("s.v").alias("values"))
 
 
+def unpatchify(patches: DataFrame, p: int) -> DataFrame:
+    """(tp, z, y, x, v): the voxels of cubic patches (tp, pz, py, px, values in raster order); a patch of another length fails."""
+    whole = F.when(F.size("values") == p**3, F.col("values")).otherwise(F.raise_error(F.lit(f"a patch hasn't {p**3} values")).cast(patches.schema["values"].dataType))
+    flat = patches.select("tp", "pz", "py", "px", F.posexplode(whole).alias("_i", "v"))
+    at = {"z": F.floor(F.col("_i") / (p * p)), "y": F.floor(F.col("_i") / p) % p, "x": F.col("_i") % p}
+    return flat.select("tp", *((F.col(f"p{a}") * p + k).cast("int").alias(a) for a, k in at.items()), "v")
+
+
 def foreground(mask: DataFrame) -> DataFrame:
     """The mask with ``is_fg``: any label but the least of its time point."""
     least = mask.groupBy(F.col("tp").alias("_tp")).agg(F.min("label").alias("_least"))

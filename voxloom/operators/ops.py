@@ -77,6 +77,14 @@ def iteration_times(events: DataFrame, key: str, order: str, every: int) -> Data
     return told.filter((F.col("iteration") % every == 0) | (F.col("iteration") == F.col("_last"))).select(key, "iteration", "seconds")
 
 
+def remaining_times(times: DataFrame, key: str, total: int, every: int) -> DataFrame:
+    """Seconds that each key's run still takes: the mean of its iterations so far for each of ``total`` that is left, at every ``every``-th one and the last. times: key, iteration, seconds (nulls count for nothing)."""
+    so_far = Window.partitionBy(key).orderBy("iteration")
+    last = F.max("iteration").over(Window.partitionBy(key))
+    told = times.withColumn("_mean", F.avg("seconds").over(so_far)).withColumn("_last", last)
+    return told.filter((F.col("iteration") % every == 0) | (F.col("iteration") == F.col("_last"))).select(key, "iteration", (F.col("_mean") * F.greatest(F.lit(total) - F.col("iteration"), F.lit(0))).alias("left"))
+
+
 def total_loss(terms: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The weighted sum of each step's terms; missing ones count as zero. terms: step, name, value."""
     w = F.lit(0.0)

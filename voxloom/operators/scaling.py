@@ -88,6 +88,20 @@ def softmax(df: DataFrame, keys: list[str], value: str, temperature: float = 1.0
     return _beside(e, keys, F.sum("_e").alias("_all")).withColumn("p", F.col("_e") / F.col("_all")).drop("_e", "_all")
 
 
+def centred(df: DataFrame, centre: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``value`` less its centre; centre: one row for each ``on`` (a score's column, say), with ``centre``. Values without one stay."""
+    told = centre.select(*(F.col(k).alias(f"_{k}") for k in on), F.col("centre").alias("_centre"))
+    joined = df.join(told, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], "left")
+    return joined.withColumn(value, F.col(value) - F.coalesce("_centre", F.lit(0.0))).drop("_centre", *(f"_{k}" for k in on))
+
+
+def log_softmax(df: DataFrame, keys: list[str], value: str, temperature: float = 1.0) -> DataFrame:
+    """``log_p``: value / temperature less the logarithm of its group's summed exponentials, the greatest taken off first."""
+    top = _beside(df, keys, F.max(value).alias("_top"))
+    shifted = top.withColumn("_s", (F.col(value) - F.col("_top")) / temperature).drop("_top")
+    return _beside(shifted, keys, F.log(F.sum(F.exp("_s"))).alias("_all")).withColumn("log_p", F.col("_s") - F.col("_all")).drop("_s", "_all")
+
+
 def low_outliers(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
     """Rows more than ``k`` sample deviations below their group's mean."""
     return _beside(df, keys, F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")).filter(F.col(value) < F.col("_m") - k * F.col("_s")).drop("_m", "_s")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import strings as S
-from ..operators import catalogue, cleaning, grid, ops, tracks
+from ..operators import catalogue, cleaning, grid, ops, scaling, tracks
 from .more import _sql
 from .queries import _r, query
 from .views import table, view
@@ -227,3 +227,46 @@ def models_of_manifest(spark, sf):
 
 
 _sql("models_of_manifest", "SELECT p_brand || '-' || p_partkey AS name, p_size * 1000::BIGINT AS size FROM part")
+
+
+@query
+def centred_log_softmax(spark, sf):
+    """Scores of prototypes (the numbers of a vector), less each one's mean, as logarithms of shares at temperature 0.1."""
+    scores = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "s")).withColumn("s", F.col("s").cast("double"))
+    centre = scores.groupBy("k").agg(F.avg("s").alias("centre"))
+    return scaling.log_softmax(scaling.centred(scores, centre, ["k"], "s"), ["vec_id"], "s", 0.1).select("vec_id", "k", *_r("log_p", digits=5))
+
+
+_sql(
+    "centred_log_softmax",
+    "WITH s AS (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS s FROM embeddings), c AS (SELECT vec_id, k, (s - avg(s) OVER (PARTITION BY k)) / 0.1 AS s FROM s), m AS (SELECT *, s - max(s) OVER (PARTITION BY vec_id) AS d FROM c) "
+    "SELECT vec_id, k, round(d - ln(sum(exp(d)) OVER (PARTITION BY vec_id)) + 1e-9, 5) AS log_p FROM m",
+)
+
+
+@query
+def unpatchified(spark, sf):
+    """Vectors as patches of 4 x 4 x 4 in a row of patches for each frame."""
+    f = view(spark, sf, "feat").select(F.col("t").alias("tp"), F.lit(0).alias("pz"), F.floor((F.col("label") - 1) / 10).alias("py"), ((F.col("label") - 1) % 10).alias("px"), F.col("feat").alias("values"))
+    return grid.unpatchify(f, 4).select("tp", "z", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+_sql(
+    "unpatchified",
+    "WITH f AS (SELECT t AS tp, label - 1 AS n, unnest(range(0, 64)) AS i, unnest(feat)::DOUBLE AS v FROM feat) SELECT tp, (i // 16)::INT AS z, (n // 10 * 4 + i // 4 % 4)::INT AS y, (n % 10 * 4 + i % 4)::INT AS x, v FROM f",
+    "feat",
+)
+
+
+@query
+def remaining_times(spark, sf):
+    m = view(spark, sf, "metric").select("name", "iteration", F.when(F.col("iteration") % 9 != 0, F.col("value") / 10).alias("seconds"))
+    return ops.remaining_times(m, "name", 10000, 25).withColumnRenamed("left", "seconds_left").select("name", "iteration", *_r("seconds_left", digits=2))
+
+
+_sql(
+    "remaining_times",
+    "WITH m AS (SELECT name, iteration, avg(CASE WHEN iteration % 9 <> 0 THEN value / 10 END) OVER (PARTITION BY name ORDER BY iteration) AS mean, max(iteration) OVER (PARTITION BY name) AS n FROM metric) "
+    "SELECT name, iteration, round(mean * greatest(10000 - iteration, 0) + 1e-9, 2) AS seconds_left FROM m WHERE iteration % 25 = 0 OR iteration = n",
+    "metric",
+)
