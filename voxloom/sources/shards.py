@@ -42,7 +42,7 @@ def expanded(pattern: str) -> list[str]:
         fixed = re.split(r"\{([^{}]*)\}", one)
         choices = []
         for k, part in enumerate(fixed):
-            numbers = re.fullmatch(r"(\d+)\.\.(\d+)", part) if k % 2 else None
+            numbers = re.match(r"(\d+)\.\.(\d+)$", part) if k % 2 else None
             if numbers:
                 first, last = numbers.groups()
                 step = 1 if int(first) <= int(last) else -1
