@@ -343,7 +343,7 @@ _add(
 )
 _add("total_loss", "SELECT iteration AS step, round(sum(value * CASE name WHEN 'click' THEN 0.5 WHEN 'view' THEN 2.0 ELSE 0 END) + 1e-9, 4) AS loss FROM metric GROUP BY iteration", "metric")
 
-from . import helpers, outputs, resampled, stores  # noqa: E402, F401  adds its SQL
+from . import helpers, outputs, resampled, segments, stores  # noqa: E402, F401  adds its SQL
 from .more import SQL  # noqa: E402
 
 ORACLES |= SQL

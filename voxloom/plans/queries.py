@@ -570,4 +570,4 @@ def total_loss(spark, sf):
     return ops.total_loss(m, {"click": 0.5, "view": 2.0}).select("step", *_r("loss"))
 
 
-from . import helpers, more, outputs, resampled, stores  # noqa: E402, F401  registers its queries too
+from . import helpers, more, outputs, resampled, segments, stores  # noqa: E402, F401  registers its queries too
