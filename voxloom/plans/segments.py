@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import segmentation, tiles
+from ..operators import segmentation, tiles, training_views
 from .more import _sql
 from .queries import SHAPE, _r, query
 from .views import view
@@ -55,3 +55,63 @@ def segmented_regions(spark, sf):
     """No SQL: components and nearest seeds; compared with a sequential version in the tests. Channels are the values and their square roots."""
     tokens = view(spark, sf, "voxel").select(*_AT, F.array(F.col("v").cast("double"), F.sqrt("v")).alias("features"))
     return segmentation.segmented(tokens, SHAPE, (9, 51, 22), radius=2, side=24)
+
+
+_VIEWS = {"large": ((6, 24, 8), range(2), (0.3, 1.0)), "small": ((3, 12, 4), range(2, 10), (0.05, 0.3))}
+
+
+def _ten(spark, sf):
+    """Two large and eight small boxes of every volume."""
+    volumes = view(spark, sf, "voxel").select("tp").distinct()
+    each = [training_views.resized_boxes(volumes.withColumn("box", F.explode(F.array(*map(F.lit, boxes)))), SHAPE, size, scale) for size, boxes, scale in _VIEWS.values()]
+    return each[0].unionByName(each[1])
+
+
+@query
+def resized_views(spark, sf):
+    return training_views.resized(view(spark, sf, "voxel"), _ten(spark, sf)).select("tp", "box", "z", "y", "x", *_r("v"))
+
+
+@query
+def resized_view_boxes(spark, sf):
+    return _ten(spark, sf)
+
+
+def _boxes_sql() -> str:
+    u = lambda *what: "('0x' || substr(md5('crop:' || tp || ':' || box" + "".join(f" || ':' || {w}" for w in what) + "), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
+    kinds = ", ".join(f"({b}, {s[0]}, {s[1]}, {s[2]}, {lo}::DOUBLE, {hi}::DOUBLE)" for s, boxes, (lo, hi) in _VIEWS.values() for b in boxes)
+    begin = lambda a, n: f"CASE WHEN k IS NULL THEN (({n} - m{a}) // 2) ELSE floor({u(chr(39) + 'at' + chr(39), chr(39) + a + chr(39))} * ({n} - d{a} + 1)) END::INT"
+    span = "(ln(4.0 / 3) - ln(0.75))"
+    return (
+        f"b AS (SELECT * FROM (SELECT DISTINCT tp FROM voxel), (VALUES {kinds}) AS t(box, rz, ry, rx, lo, hi)), "
+        f"a AS (SELECT b.*, k, (9 * 51 * 11) * (lo + (hi - lo) * {u(chr(39) + 'part' + chr(39))}) AS room, ry::DOUBLE / rz * exp(ln(0.75) + {span} * {u('k', chr(39) + 'y' + chr(39))}) AS high, rx::DOUBLE / rz * exp(ln(0.75) + {span} * {u('k', chr(39) + 'x' + chr(39))}) AS broad FROM b, range(10) r(k)), "
+        "s AS (SELECT *, round((room / (high * broad)) ** (1.0 / 3)) AS deep FROM a), "
+        "f AS (SELECT tp, box, min({'k': k, 'z': deep, 'y': round(deep * high), 'x': round(deep * broad)}) AS s FROM s WHERE deep BETWEEN 1 AND 9 AND round(deep * high) BETWEEN 1 AND 51 AND round(deep * broad) BETWEEN 1 AND 11 GROUP BY ALL), "
+        "m AS (SELECT b.*, s.k AS k, least(9.0 / rz, 51.0 / ry, 11.0 / rx) AS q, least(9, trunc(rz * q))::INT AS mz, least(51, trunc(ry * q))::INT AS my, least(11, trunc(rx * q))::INT AS mx, coalesce(s.z, mz)::INT AS dz, coalesce(s.y, my)::INT AS dy, coalesce(s.x, mx)::INT AS dx FROM b LEFT JOIN f USING (tp, box)), "
+        f"w AS (SELECT *, {begin('z', 9)} AS z0, {begin('y', 51)} AS y0, {begin('x', 11)} AS x0 FROM m), "
+        "boxes AS (SELECT tp, box, z0, z0 + dz AS z1, y0, y0 + dy AS y1, x0, x0 + dx AS x1, rz, ry, rx FROM w)"
+    )
+
+
+_sql("resized_view_boxes", f"WITH {_boxes_sql()} SELECT * FROM boxes", "voxel")
+_ends = lambda a: f"LATERAL (SELECT greatest(0, ({a} + 0.5) * ({a}1 - {a}0)::DOUBLE / r{a} - 0.5) AS at_{a})"
+_corner = lambda a: f"unnest([{{'i': {a}0 + least(floor(at_{a}), {a}1 - {a}0 - 1)::INT, 'w': 1 - (at_{a} - floor(at_{a}))}}, {{'i': {a}0 + least(floor(at_{a}) + 1, {a}1 - {a}0 - 1)::INT, 'w': at_{a} - floor(at_{a})}}]) AS c{a}"
+_sql(
+    "resized_views",
+    f"WITH {_boxes_sql()}, g AS (SELECT boxes.*, z::INT AS z, y::INT AS y, x::INT AS x FROM boxes, range(24) r(z), range(24) s(y), range(24) t(x) WHERE z < rz AND y < ry AND x < rx), "
+    f"p AS (SELECT * FROM g, {_ends('z')}, {_ends('y')}, {_ends('x')}), c1 AS (SELECT *, {_corner('z')} FROM p), c2 AS (SELECT *, {_corner('y')} FROM c1), c3 AS (SELECT *, {_corner('x')} FROM c2) "
+    "SELECT c.tp, box, c.z, c.y, c.x, round(sum(coalesce(v.v, 0) * cz.w * cy.w * cx.w) + 1e-9, 4) AS v FROM c3 c LEFT JOIN voxel v ON v.tp = c.tp AND v.z = cz.i AND v.y = cy.i AND v.x = cx.i GROUP BY ALL",
+    "voxel",
+)
+
+
+@query
+def pretraining_views(spark, sf):
+    """No SQL: clusters; each step is compared with numpy in the tests."""
+    return training_views.pretraining_views(view(spark, sf, "voxel"), SHAPE, (6, 24, 8), (3, 12, 4), low=0.9, high=0.99).select("tp", "box", "z", "y", "x", *_r("v"), "rz", "ry", "rx")
+
+
+@query
+def automatic_boxes(spark, sf):
+    """No SQL: clusters; compared with a sequential version in the tests."""
+    return training_views.auto_boxes(view(spark, sf, "voxel"), SHAPE, k=3, low=0.5, high=0.99)
