@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..operators import segmentation, tiles, training_views
+from ..streaming import shuffle_buffer
 from .more import _sql
 from .queries import SHAPE, _r, query
-from .views import view
+from .views import table, view
 
 _AT = ["tp", "z", "y", "x"]
 
@@ -115,3 +117,16 @@ def pretraining_views(spark, sf):
 def automatic_boxes(spark, sf):
     """No SQL: clusters; compared with a sequential version in the tests."""
     return training_views.auto_boxes(view(spark, sf, "voxel"), SHAPE, k=3, low=0.5, high=0.99)
+
+
+@query
+def stream_shuffle(spark, sf):
+    """No SQL: one row after the other; compared with a sequential buffer in the tests. Vectors come in two starts, the end with the second."""
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).cast("string").alias("stream"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("item"))
+    half = e.agg(F.floor(F.max("seq") / 2)).first()[0]
+    ends = e.groupBy("stream").agg(F.max("seq").alias("seq")).withColumn("item", F.lit(None).cast("string"))
+    path = shared_folder(spark, "shuffle")
+    for part in (e.filter(F.col("seq") <= half), e.filter(F.col("seq") > half).unionByName(ends)):
+        part.write.mode("append").parquet(f"{path}/rows")
+        shuffle_buffer.run(spark.readStream.schema(shuffle_buffer.ROWS).parquet(f"{path}/rows"), f"{path}/out", f"{path}/checkpoint", 50, 100)
+    return spark.read.schema(shuffle_buffer.SHUFFLED).parquet(f"{path}/out")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import strings as S
+from .append import to_table
 
 EVENTS = "job_id string, seq long, kind string, text string"
 REPORT = "job_id string, seq long, status string, processed int, total int, current string"
@@ -84,18 +85,7 @@ def states(events: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
 
 def run(events: DataFrame, table: str, checkpoint: str, remembered: int = REMEMBERED) -> None:
     """Take in what has come and add the changes to the Parquet table ``table``; call again to go on from ``checkpoint``."""
-    spark = events.sparkSession
-    # a state with an end of time asks for batches without rows for ever, so an available-now stream would not end
-    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        sink = states(events, remembered).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        sink.option("path", table).option("checkpointLocation", checkpoint).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    to_table(states(events, remembered), table, checkpoint)
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
