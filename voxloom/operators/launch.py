@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
+
 # Names that requests use.
 SAVE_FORMATS = (".npy", ".tif")
 SEGMENTATION_MODES = ("voronoi-otsu", "probability-map")
@@ -156,3 +158,52 @@ def tracking_launch(requests: DataFrame) -> DataFrame:
 def newest_first(rows: DataFrame, key: str, order: list) -> DataFrame:
     """``rows`` with their place within the key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def download_launch(requests: DataFrame, manifest: DataFrame, present: DataFrame, key: str = "request", confirm: bool = True) -> DataFrame:
+    """What each request for datasets leads to. requests: ``key``, datasets (array of names), existing_mode (skip, overwrite or null); manifest and present: name.
+
+    Returns ``key``, reason (null if the job may start or must be confirmed),
+    names (those the reason or the question is about, in the order asked for:
+    the invalid one, at most three unknown ones, all that are there),
+    needs_confirmation, selected and skipped (null if no job starts) and
+    overwrite.  Names are trimmed and count once, at their first place; names
+    of manifest and present may repeat.  A null or empty list is a missing
+    selection, a null name an invalid one.  Names meet both tables by
+    equi-joins, so neither is broadcast by force nor gathered.
+    """
+    name = F.trim(F.col("_raw"))
+    each = requests.select(key, F.posexplode_outer("datasets").alias("_at", "_raw")).filter("_at is not null")
+    told = each.select(key, "_at", "_raw", name.alias("name"), F.coalesce(S.dataset_name_ok(name), F.lit(False)).alias("_ok"))
+    once = told.groupBy(key, "name", "_ok").agg(F.min("_at").alias("_at"), F.min_by("_raw", "_at").alias("_raw"))
+    known = once.join(manifest.select("name").distinct().withColumn("_listed", F.lit(True)), "name", "left").join(present.select("name").distinct().withColumn("_there", F.lit(True)), "name", "left")
+    row = F.struct("_at", F.when(F.col("_ok"), F.col("name")).otherwise(F.col("_raw")).alias("name"), "_ok", F.col("_listed").isNotNull().alias("listed"), F.col("_there").isNotNull().alias("there"))
+    lists = known.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))  # a request's own list
+    all_of = requests.select(key, "existing_mode").join(lists, key, "left").withColumn("_rows", F.coalesce("_rows", F.array().cast(lists.schema["_rows"].dataType)))
+
+    def names(which) -> Column:
+        return F.transform(F.filter("_rows", which), lambda r: r["name"])
+
+    wrong, unknown, there = names(lambda r: ~r["_ok"]), names(lambda r: ~r["listed"]), names(lambda r: r["there"])
+    skip = F.coalesce(F.col("existing_mode") == "skip", F.lit(False))
+    open_ = names(lambda r: ~(r["there"] & skip))
+    asks = (F.size(there) > 0) & F.col("existing_mode").isNull() & F.lit(confirm)
+    reason = first_problem(
+        ("invalid_dataset_name", F.size(wrong) > 0),
+        ("missing_selection", F.size("_rows") == 0),
+        ("unknown_dataset", F.size(unknown) > 0),
+        ("ask", asks),
+        ("nothing_to_download", F.size(open_) == 0),
+    )
+    out = all_of.withColumn("_why", reason)
+    starts = F.col("_why").isNull()
+    about = F.when(F.col("_why") == "invalid_dataset_name", F.slice(wrong, 1, 1)).when(F.col("_why") == "unknown_dataset", F.slice(unknown, 1, 3)).when(F.col("_why") == "ask", there)
+    return out.select(
+        key,
+        F.when(F.col("_why") != "ask", F.col("_why")).alias("reason"),
+        about.alias("names"),
+        F.coalesce(F.col("_why") == "ask", F.lit(False)).alias("needs_confirmation"),
+        F.when(starts, open_).alias("selected"),
+        F.when(starts, names(lambda r: r["there"] & skip)).alias("skipped"),
+        (starts & (F.coalesce("existing_mode", F.lit("overwrite")) == "overwrite")).alias("overwrite"),
+    )

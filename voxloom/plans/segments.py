@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
-from ..operators import segmentation, tiles, training_views
+from ..operators import launch, segmentation, tiles, training_views
 from ..streaming import shuffle_buffer
 from .more import _sql
 from .queries import SHAPE, _r, query
@@ -130,3 +130,27 @@ def stream_shuffle(spark, sf):
         part.write.mode("append").parquet(f"{path}/rows")
         shuffle_buffer.run(spark.readStream.schema(shuffle_buffer.ROWS).parquet(f"{path}/rows"), f"{path}/out", f"{path}/checkpoint", 50, 100)
     return spark.read.schema(shuffle_buffer.SHUFFLED).parquet(f"{path}/out")
+
+
+@query
+def download_launch(spark, sf):
+    """An order asks for its lines' parts; every seventh part isn't in the manifest, a third is there already, odd lines' names are wrong in some orders."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("n"), F.concat(F.when(F.col("l_orderkey") % 29 == 0, F.lit("../")).otherwise(F.lit(" p")), F.col("l_partkey").cast("string")).alias("raw"))
+    asked = lines.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw"))), lambda r: r["raw"]).alias("datasets"))
+    mode = F.when(F.col("request") % 3 == 0, F.lit("skip")).when(F.col("request") % 3 == 1, F.lit("overwrite"))
+    requests = table(spark, sf, "orders").select(F.col("o_orderkey").alias("request")).join(asked, "request", "left").withColumn("existing_mode", mode)
+    parts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"))
+    told = launch.download_launch(requests, parts.filter("p_partkey % 7 <> 0"), parts.filter("p_partkey % 3 = 0"))
+    return told.select("request", "reason", "needs_confirmation", "overwrite", *(F.array_join(c, ",").alias(c) for c in ("names", "selected", "skipped")))
+
+
+_sql(
+    "download_launch",
+    "WITH l AS (SELECT l_orderkey AS request, l_linenumber AS n, CASE WHEN l_orderkey % 29 = 0 THEN '../' ELSE 'p' END || l_partkey AS name, l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) AS listed, l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) AS there FROM lineitem), "
+    "u AS (SELECT request, name, listed, there, min(n) AS n FROM l GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY request, listed ORDER BY n, name) AS k FROM u), "
+    "a AS (SELECT o_orderkey AS request, o_orderkey % 3 AS mode, count(name) AS c, count(*) FILTER (NOT listed) AS missing, count(*) FILTER (there) AS old, first(name ORDER BY n, name) AS wrong, string_agg(name, ',' ORDER BY n, name) FILTER (NOT listed AND k <= 3) AS unknown, string_agg(name, ',' ORDER BY n, name) FILTER (there) AS old_names, "
+    "coalesce(string_agg(name, ',' ORDER BY n, name), '') AS all_names, string_agg(name, ',' ORDER BY n, name) FILTER (NOT there) AS new_names FROM orders LEFT JOIN o ON o.request = o_orderkey GROUP BY ALL), "
+    "w AS (SELECT *, CASE WHEN c = 0 THEN 'missing_selection' WHEN request % 29 = 0 THEN 'invalid_dataset_name' WHEN missing > 0 THEN 'unknown_dataset' WHEN mode = 2 AND old > 0 THEN 'ask' WHEN mode = 0 AND old = c THEN 'nothing_to_download' END AS why FROM a) "
+    "SELECT request, nullif(why, 'ask') AS reason, coalesce(why = 'ask', false) AS needs_confirmation, why IS NULL AND mode <> 0 AS overwrite, CASE why WHEN 'invalid_dataset_name' THEN wrong WHEN 'unknown_dataset' THEN unknown WHEN 'ask' THEN old_names END AS names, "
+    "CASE WHEN why IS NULL THEN CASE WHEN mode = 0 THEN new_names ELSE all_names END END AS selected, CASE WHEN why IS NULL THEN CASE WHEN mode = 0 THEN coalesce(old_names, '') ELSE '' END END AS skipped FROM w",
+)
