@@ -3,8 +3,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from voxloom.operators import grid, ops, scaling
+from voxloom.operators import grid, ops, scaling, voxels
 
 
 def test_centred_log_softmax(spark):
@@ -32,3 +33,14 @@ def test_time_that_is_left(spark):
     df = spark.createDataFrame([("m", k, None if k == 1 else float(k)) for k in range(1, 8)], "name string, iteration long, seconds double")
     got = {r.iteration: r.left for r in ops.remaining_times(df, "name", 6, 2).collect()}
     assert got == {2: 2.0 * 4, 4: 3.0 * 2, 6: 0.0, 7: 0.0}
+
+
+def test_sizes_beyond_32_bits(spark, tmp_path):
+    from voxloom.plans import queries
+
+    keys = [7, 900_000, 9_000_012, 3_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.gcd, r.channels) for r in queries.QUERIES["sizes"](spark, str(tmp_path)).collect()}
+    assert got == {k: (math.gcd(k, 360), max(1, min(k % 400 + 1, 536870912 // max(4 * k * 1000, 1)))) for k in keys}
+    large = spark.createDataFrame([(2_000_000_000,)], "n int")
+    assert large.select(voxels.batch_rows(2**40, F.col("n"), 1), voxels.batch_channels(2**40, F.lit(500), F.col("n")), voxels.least_multiple(F.col("n"), F.lit(3))).first()[:] == (137, 137, 6_000_000_000)

@@ -61,7 +61,7 @@ def greatest_divisor(a: Column, b: Column) -> Column:
     """The greatest common divisor by Euclid's rule; 93 steps do for 64 bits."""
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(93)),
-        F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b")),
+        F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b")),
         lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))),
     )
     return step["a"]
@@ -69,7 +69,7 @@ def greatest_divisor(a: Column, b: Column) -> Column:
 
 def least_multiple(a: Column, b: Column) -> Column:
     d = greatest_divisor(a, b)
-    return F.when(d == 0, F.lit(0).cast("long")).otherwise((F.abs(a) * (F.abs(b) / F.when(d != 0, d)).cast("long")).cast("long"))
+    return F.when(d == 0, F.lit(0).cast("long")).otherwise(F.abs(a.cast("long")) * (F.abs(b.cast("long")) / F.when(d != 0, d)).cast("long"))
 
 
 def due(step: Column, interval: int, last: Column) -> Column:
@@ -79,12 +79,12 @@ def due(step: Column, interval: int, last: Column) -> Column:
 
 def batch_rows(budget: int, channels: Column, least: int = 4096) -> Column:
     """Rows of float vectors that fit into a budget, but some at least."""
-    return F.greatest(F.lit(least), F.floor(F.lit(budget) / (4 * F.greatest(channels, F.lit(1))))).cast("long")
+    return F.greatest(F.lit(least), F.floor(F.lit(budget) / (4 * F.greatest(channels.cast("long"), F.lit(1))))).cast("long")
 
 
 def batch_channels(budget: int, channels: Column, voxels: Column, copies: int = 1) -> Column:
     """Channels of float volumes that fit into a budget, one at least and all at most."""
-    return F.greatest(F.lit(1), F.least(channels, F.floor(F.lit(budget) / F.greatest(4 * copies * voxels, F.lit(1))))).cast("long")
+    return F.greatest(F.lit(1), F.least(channels, F.floor(F.lit(budget) / F.greatest(4 * copies * voxels.cast("long"), F.lit(1))))).cast("long")
 
 
 def normalised(voxels: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
