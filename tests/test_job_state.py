@@ -33,3 +33,14 @@ def test_a_job_is_forgotten_in_the_end(spark, tmp_path):
         spark.createDataFrame(rows, job_state.EVENTS).coalesce(1).write.mode("append").parquet(f"{path}/events")
         job_state.run(spark.readStream.schema(job_state.EVENTS).parquet(f"{path}/events"), f"{path}/states", f"{path}/checkpoint", remembered=1)
     assert [tuple(r) for r in job_state.latest(spark, f"{path}/states").collect()] == [("a", 1, "stopped", 0, 1, None)]
+
+
+def test_a_stop_comes_before_the_line_of_its_number(spark, tmp_path):
+    """Whatever order a shuffle brings: a line with the stop's own number isn't counted."""
+    expect = [("a", 0, "expect", "/out/x.npy"), ("a", 0, "expect", "/out/y.npy")]
+    ends = [("a", 2, "stop", None), ("a", 2, "line", SAVED.format("y"))]
+    for k, rows in enumerate(([*expect, *ends], [*ends[::-1], *expect])):
+        path = f"{tmp_path}/{k}"
+        spark.createDataFrame([("a", 1, "line", SAVED.format("x")), *rows], job_state.EVENTS).coalesce(1).write.parquet(f"{path}/events")
+        job_state.run(spark.readStream.schema(job_state.EVENTS).parquet(f"{path}/events"), f"{path}/states", f"{path}/checkpoint")
+        assert [tuple(r) for r in job_state.latest(spark, f"{path}/states").collect()] == [("a", 2, "stopped", 1, 2, "/out/x.npy")]

@@ -21,6 +21,8 @@ EVENTS = "job_id string, seq long, kind string, text string"
 REPORT = "job_id string, seq long, status string, processed int, total int, current string"
 #: Milliseconds for which a job that is over is remembered, so that late lines find it.
 REMEMBERED = 7 * 24 * 3600 * 1000
+#: Events of one seq in the order in which they count: what ends a job comes before the line that it came with.
+TURN = {"expect": 0, "stop": 1, "status": 2, "line": 3}
 
 
 class JobStates(StatefulProcessor):
@@ -38,7 +40,8 @@ class JobStates(StatefulProcessor):
         self.over = handle.getValueState("over", "status string", ttlDurationMs=self.remembered)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        events = pd.concat(list(rows))
+        events = events.assign(turn=events["kind"].map(TURN).fillna(len(TURN))).sort_values(["seq", "turn", "item"], kind="stable")
         if self.over.exists():
             return
         open_items, done, current = self.running.get() if self.running.exists() else ((), (), None)
@@ -74,7 +77,8 @@ def states(events: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
 
     Lines are read by SQL functions before the shuffle; those that report
     nothing saved stay behind.  Events count in the order of ``seq`` within a
-    micro-batch and as they come across them.  Items that aren't expected or
+    micro-batch (of one seq: expected items, stop, status, lines) and as they
+    come across them.  Items that aren't expected or
     were reported before change nothing.  Rows with a null job, kind or seq
     are left out.
     """
