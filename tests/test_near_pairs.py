@@ -17,6 +17,21 @@ def objects(spark, seed):
     return rows, spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
 
 
+@pytest.mark.parametrize("start", [0.4, None])
+def test_nearest_links(spark, start):
+    _, o = objects(spark, 1)
+    want = tracks.mutual_nearest(matching.candidates(o, *REACH))
+    got = sorted(map(tuple, tracks.nearest_links(o, *REACH, start).select("t", "ref", "cand").collect()))
+    assert got == sorted(map(tuple, want.select("t", "ref", "cand").collect())) and len(got) > 10
+
+
+def test_candidates_are_all_pairs_within_reach(spark):
+    rows, o = objects(spark, 2)
+    known = [r for r in rows if r[2] is not None and not math.isnan(r[2])]
+    want = sorted((a[0], a[1], b[1]) for a in known for b in known if b[0] == a[0] + 1 and all(abs(a[k] - b[k]) <= r for k, r in ((2, 3.0), (3, 3.0), (4, 2.0))))
+    assert sorted(tuple(r)[:3] for r in matching.candidates(o, *REACH).collect()) == want
+
+
 def test_samples_that_only_one_object_has(spark):
     """The samples that meet count, whatever else each object has; a null counts but adds nothing, one sample has no correlation."""
     rows = [(0, 1, 0, k, float(k)) for k in range(5)] + [(0, 1, 1, 0, 2.0)] + [(1, 7, 0, k, v) for k, v in ((3, 1.0), (1, 4.0), (4, None), (9, 8.0))] + [(1, 7, 1, 0, 5.0), (1, 7, 2, 0, 5.0)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from . import matching
 
 
 def chain(objects: DataFrame, links: DataFrame) -> DataFrame:
@@ -49,6 +50,20 @@ def mutual_nearest(pairs: DataFrame) -> DataFrame:
     return by_ref.join(by_cand, ["t", "ref", "cand"])
 
 
+def nearest_links(objects: DataFrame, radius: float, z_radius: float, z_weight: float = 1.0, start: float | None = None) -> DataFrame:
+    """:func:`mutual_nearest` of the candidates of the objects, found without all the pairs.
+
+    Of objects at one place only the one of the least label can be another's
+    nearest, so the others stay out of the search.
+    """
+    places = cut(objects.filter("cy is not null and cx is not null and cz is not null").groupBy("t", "cy", "cx", "cz").agg(F.min("label").alias("label")))
+    asked = places.withColumn("d", F.explode(F.array(F.lit(1), F.lit(-1))))
+    found = cut(matching.nearest(asked, places, radius, z_radius, z_weight, start))
+    by_ref = found.filter("d = 1").select("t", F.col("label").alias("ref"), F.col("near").alias("cand"))
+    by_cand = found.filter("d = -1").select((F.col("t") - 1).alias("t"), F.col("near").alias("ref"), F.col("label").alias("cand"))
+    return by_ref.join(by_cand, ["t", "ref", "cand"])
+
+
 def export(tracks: DataFrame, objects: DataFrame, invert_z: float | None = None) -> DataFrame:
     """Track rows with positions and amplitude, in the export's column order; tracks with a NaN or null amplitude are left out.
 
