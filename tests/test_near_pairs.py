@@ -41,3 +41,12 @@ def test_samples_that_only_one_object_has(spark):
     assert set(got) == {0, 1} and got[1] == (None, 9.0) and got[0][1] == pytest.approx((9.0 + 4.0) / 2)
     plan = matching.pair_features(pairs, s)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join") == 2  # one row a pair travels
+
+
+def test_blocks_of_vectors():
+    """Copies of a row are the blocks of the other side: few, and no faster than the rows."""
+    from voxloom.operators import vectors
+
+    assert vectors.blocks(600_000, 600_000, 64) == (19, 19)
+    assert vectors.blocks(10, 500, 64) == (1, 1) and vectors.blocks(200, 10_256, 64) == (1, 11)
+    assert all(n / p * w * 8 <= 2**24 for n in (10**6, 10**7) for w in (64, 384, 2048) for p in vectors.blocks(n, n, w))

@@ -21,16 +21,25 @@ def unit(vec):
     return F.transform(vec, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def nearest_neighbour(queries: DataFrame, points: DataFrame, block: int = 512) -> DataFrame:
+def blocks(n_q: int, n_p: int, width: int) -> tuple[int, int]:
+    """Blocks of queries and of points: up to 32,768 rows or 16 MB each, as rows are copied once for each block of the other side; at least 16 pairs of blocks where rows suffice."""
+    most = max(512, min(32_768, 2**24 // (8 * max(1, width))))
+    parts, p_parts = max(1, -(-n_q // most)), max(1, -(-n_p // most))
+    return parts, max(p_parts, min(-(-16 // parts), -(-n_p // 1024)))
+
+
+def nearest_neighbour(queries: DataFrame, points: DataFrame, block: int | None = None) -> DataFrame:
     """(id, neighbour, similarity): the other point of greatest dot product with each query of unit length; ties go to the least id.
 
     ``queries`` is the stated query set.  Points and queries are dealt into
-    blocks, each pair of blocks is one dense product that keeps one row a
-    query, and a grouped maximum puts the blocks together.
+    blocks, each pair of blocks is a dense product, taken 256 queries at a
+    time, that keeps one row a query, and a grouped maximum puts the blocks
+    together.  ``block`` sets the queries of a block (eight times as many
+    points); by default see :func:`blocks`.
     """
     n_q = queries.count()
-    parts = max(1, -(-n_q // block))
-    p_parts = max(1, -(-points.count() // (8 * block)))
+    about = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    parts, p_parts = blocks(n_q, about["n"], about["width"] or 1) if block is None else (max(1, -(-n_q // block)), max(1, -(-about["n"] // (8 * block))))
     q = queries.select(F.lit(True).alias("q"), "id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(p_parts - 1))).alias("j"))
     p = points.select(F.lit(False).alias("q"), "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(p_parts)).alias("j"))
 
@@ -38,10 +47,15 @@ def nearest_neighbour(queries: DataFrame, points: DataFrame, block: int = 512) -
         a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("id")
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []}).astype({"id": "int64", "neighbour": "int64"})
-        s = np.stack(a.vec.to_numpy()).astype(np.float64) @ np.stack(b.vec.to_numpy()).astype(np.float64).T
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -np.inf
-        k = s.argmax(1)
-        return pd.DataFrame({"id": a.id.to_numpy(), "neighbour": b.id.to_numpy()[k], "similarity": s[np.arange(len(a)), k]})
+        u, v = (np.stack(x.vec.to_numpy()).astype(np.float64) for x in (a, b))
+        ids, found = b.id.to_numpy(), []
+        for at in range(0, len(a), 256):
+            own = a.id.to_numpy()[at : at + 256]
+            s = u[at : at + 256] @ v.T
+            s[own[:, None] == ids[None, :]] = -np.inf
+            k = s.argmax(1)
+            found.append(pd.DataFrame({"id": own, "neighbour": ids[k], "similarity": s[np.arange(len(own)), k]}))
+        return pd.concat(found)
 
     found = q.unionByName(p).groupBy("i", "j").applyInPandas(best, "id long, neighbour long, similarity double").filter(~F.col("similarity").isin(float("-inf")))
     top = found.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("neighbour")).alias("n"))).alias("m"))
