@@ -32,6 +32,17 @@ def test_candidates_are_all_pairs_within_reach(spark):
     assert sorted(tuple(r)[:3] for r in matching.candidates(o, *REACH).collect()) == want
 
 
+@pytest.mark.parametrize("start", [0.7, None])
+def test_greedy_of_objects(spark, start):
+    _, o = objects(spark, 3)
+    free, want = set(), []
+    for r in sorted(matching.candidates(o, *REACH).collect(), key=lambda r: (r.dist, r.ref, r.cand)):
+        if not {(r.t, "ref", r.ref), (r.t, "cand", r.cand)} & free:
+            free |= {(r.t, "ref", r.ref), (r.t, "cand", r.cand)}
+            want.append((r.t, r.ref, r.cand))
+    assert sorted(map(tuple, matching.greedy_objects(o, *REACH, start).collect())) == sorted(want)
+
+
 def test_samples_that_only_one_object_has(spark):
     """The samples that meet count, whatever else each object has; a null counts but adds nothing, one sample has no correlation."""
     rows = [(0, 1, 0, k, float(k)) for k in range(5)] + [(0, 1, 1, 0, 2.0)] + [(1, 7, 0, k, v) for k, v in ((3, 1.0), (1, 4.0), (4, None), (9, 8.0))] + [(1, 7, 1, 0, 5.0), (1, 7, 2, 0, 5.0)]
