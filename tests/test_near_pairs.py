@@ -32,6 +32,56 @@ def test_candidates_are_all_pairs_within_reach(spark):
     assert sorted(tuple(r)[:3] for r in matching.candidates(o, *REACH).collect()) == want
 
 
+def copies(spark):
+    """Objects of which many lie at one place, two at equal distances, one without a label."""
+    rows = [(t, 100 * k + label, y, x, 1.0) for t in range(3) for k in range(7) for label, y, x in ((1, 0.0, 0.0), (2, 2.0, 0.0), (3, -2.0, 0.0), (4, 1.0, 2.5), (5, 30.0, 0.0))]
+    rows += [(1, None, 0.0, -0.0, 1.0), (1, 999, None, 0.0, 1.0), (1, 998, float("nan"), 0.0, 1.0)]
+    return rows, spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
+
+
+def by_hand(rows, radius=3.0):
+    """Pairs and their distances; null labels come last among equal distances."""
+    known = [r for r in rows if r[2] is not None and not math.isnan(r[2])]
+    met = [(a[0], a[1], b[1], math.hypot(a[2] - b[2], a[3] - b[3])) for a in known for b in known if b[0] == a[0] + 1 and all(abs(a[k] - b[k]) <= radius for k in (2, 3))]
+    return sorted(met, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[3], r[2] is None, r[2] or 0))
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+@pytest.mark.parametrize("cells", [("cy",), matching.AXES])
+def test_copies_meet_once_a_place(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    rows, o = copies(spark)
+    key = lambda r: tuple((v is None, v or 0) for v in r[:3])
+    near = matching.near_places(o, *REACH, cells=cells)
+    got = [(r.t, r.ref, r.cand) for r in matching.pairs_of(near).collect()]
+    assert sorted(got, key=key) == sorted((r[:3] for r in by_hand(rows)), key=key) and len(got) > 1000
+    met = near.collect()
+    assert max(len(x) for r in met for x in (r.refs, r.cands)) <= block and (block == 2 or len(met) < 50)
+
+
+@pytest.mark.parametrize("cells", [("cy",), matching.AXES])
+def test_candidates_in_order(spark, cells):
+    rows, o = copies(spark)
+    want, last = [], None
+    for t, ref, cand, _ in by_hand(rows):
+        place = place + 1 if (t, ref) == last else 1  # noqa: F821
+        last = (t, ref)
+        want.append((t, ref, cand, place))
+    key = lambda r: (r[0], r[1] is None, r[1] or 0, r[3])
+    got = matching.candidates_in_order(o, *REACH, cells=cells)
+    assert sorted(map(tuple, got.collect()), key=key) == want
+
+
+@pytest.mark.parametrize("name", ["ranked_candidates_by_distance", "spatial_candidates"])
+def test_no_pair_is_shuffled_or_sorted(spark, name):
+    """Above the join, where rows are pairs, nothing is exchanged, sorted or held in a window."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert not any(x in above for x in ("Exchange", "Sort ", "Window")) and above.count("Generate") >= 2
+
+
 @pytest.mark.parametrize("start", [0.7, None])
 def test_greedy_of_objects(spark, start):
     _, o = objects(spark, 3)
