@@ -82,6 +82,18 @@ def test_no_pair_is_shuffled_or_sorted(spark, name):
     assert not any(x in above for x in ("Exchange", "Sort ", "Window")) and above.count("Generate") >= 2
 
 
+def test_a_list_of_candidates_is_put_in_order_once(spark):
+    """What all rows of a place or an object share is made before its rows: the order not anew in a filter of the join, the name not in every row."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["ranked_candidates_by_distance"](spark, "/root/testdata/sf0.001")
+    plan = [line.strip(" :+-") for line in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert not any("sort_array" in line for line in plan if "Join" in line)
+    assert sum("sort_array" in line for line in plan) == 1
+    last = next(i for i, line in enumerate(plan) if "Generate posexplode" in line)
+    assert last > 0 and not any("concat" in line for line in plan[:last]) and "concat" in plan[last + 1]
+
+
 @pytest.mark.parametrize("start", [0.7, None])
 def test_greedy_of_objects(spark, start):
     _, o = objects(spark, 3)
