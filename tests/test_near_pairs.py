@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from voxloom.operators import matching, tracks
@@ -105,6 +106,58 @@ def test_greedy_of_objects(spark, start):
     assert sorted(map(tuple, matching.greedy_objects(o, *REACH, start).collect())) == sorted(want)
 
 
+def sequential(rows, w=2.5):
+    """The sequential rule on objects, and how many pairs it has to choose from."""
+    by_t = {}
+    for r in rows:
+        by_t.setdefault(r[0], []).append(r)
+    dist = lambda a, b: np.float32(math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 + w * (a[4] - b[4]) * (a[4] - b[4])))
+    met = [(t, dist(a, b), a[1], b[1]) for t in by_t for a in by_t[t] for b in by_t.get(t + 1, []) if all(abs(a[k] - b[k]) <= x for k, x in ((2, REACH[0]), (3, REACH[0]), (4, REACH[1])))]
+    used, out = set(), []
+    for t, _, a, b in sorted(met):
+        if not {(t, "a", a), (t, "b", b)} & used:
+            used |= {(t, "a", a), (t, "b", b)}
+            out.append((t, a, b))
+    return sorted(out), len(met)
+
+
+@pytest.mark.parametrize("start", [0.7, None])
+@pytest.mark.parametrize("seed", [4, 6])
+def test_greedy_of_places_equally_near(spark, start, seed):
+    """Several objects at each place of a grid, so that nearly all places are equally near to several; labels are strewn."""
+    rnd = random.Random(seed)
+    rows, side = [], (6, 2) if seed == 6 else (12, 3)
+    for t in range(4):
+        spots = [(rnd.randint(0, side[0]) / 2, rnd.randint(0, side[1]) / 2, float(rnd.randint(1, 2))) for _ in range(40)]
+        labels = rnd.sample(range(1000), 150)
+        rows += [(t, label, *rnd.choice(spots)) for label in labels]
+    o = spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
+    want, met = sequential(rows)
+    assert sorted(map(tuple, matching.greedy_objects(o, *REACH, start).collect())) == want and met > 5000
+
+
+def test_greedy_rounds_do_not_grow_with_the_objects_of_a_place(spark, monkeypatch):
+    """Two places equally near to one, forty objects each, labels in turn: settled at once, and the last ones with them."""
+    rows = [(t, 10 * k + p, y, 0.0, 1.0) for k in range(40) for t, p, y in ((0, 1, 0.0), (1, 1, 1.0), (1, 2, -1.0), (0, 3, 2.5), (1, 3, 40.0))]
+    o = spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
+    sc = spark.sparkContext
+    sc.setJobGroup("greedy", "greedy")
+    matched = matching.greedy_objects(o, *REACH, 2.0)
+    sc.setJobGroup("others", "others")
+    got = sorted(map(tuple, matched.collect()))
+    assert got == sequential(rows)[0] and len(got) == 60
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("greedy")) < 150
+    # the optimizer's size of the result isn't a product over all rounds
+    assert len(str(matched._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 60
+
+
+def test_greedy_of_objects_without_a_label(spark):
+    rows = [(0, None, 0.0, 0.0, 1.0), (0, 5, 0.0, 0.0, 1.0), (1, 2**60 + 1, 1.0, 0.0, 1.0), (1, 2**60, -1.0, 0.0, 1.0), (1, None, -1.0, 0.0, 1.0)]
+    o = spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
+    got = {tuple(r) for r in matching.greedy_objects(o, *REACH).collect()}
+    assert got == {(0, None, None), (0, 5, 2**60)}
+
+
 def test_samples_that_only_one_object_has(spark):
     """The samples that meet count, whatever else each object has; a null counts but adds nothing, one sample has no correlation."""
     rows = [(0, 1, 0, k, float(k)) for k in range(5)] + [(0, 1, 1, 0, 2.0)] + [(1, 7, 0, k, v) for k, v in ((3, 1.0), (1, 4.0), (4, None), (9, 8.0))] + [(1, 7, 1, 0, 5.0), (1, 7, 2, 0, 5.0)]

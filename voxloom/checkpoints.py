@@ -35,3 +35,28 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the checkpoint folder, read again.
+
+    A checkpoint keeps the size that the optimizer expected of what made it;
+    for a join that is the product of both sides, so in a loop of joins its
+    digits multiply each round, until planning takes longer than the work.  A
+    table has the size of its files.  :func:`discard` deletes it.
+    """
+    spark = df.sparkSession
+    at = spark.sparkContext.getCheckpointDir()
+    path = f"{at.rstrip('/')}/table-{uuid.uuid4().hex}" if at else shared_folder(spark, "table")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
