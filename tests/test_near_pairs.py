@@ -73,6 +73,17 @@ def test_candidates_in_order(spark, cells):
     assert sorted(map(tuple, got.collect()), key=key) == want
 
 
+def test_a_range_of_one_axis_is_shared_by_several_cells(spark):
+    """Where only one axis is cut, a crowded range of twice the radius is the work of four cells, and every pair still meets once."""
+    rows = [(t, k, k / 4, 0.0, 1.0) for t in range(2) for k in range(-40, 240)]
+    o = spark.createDataFrame(rows, "t int, label long, cy double, cx double, cz double")
+    keys, ref, cand = matching._meeting(o, 15.0, 2.0, None, ("cy",))
+    assert max(r["count"] for r in ref.groupBy(*keys).count().collect()) <= 31
+    assert max(r["count"] for r in cand.groupBy(*keys).count().collect()) <= 152
+    got = [(r.ref, r.cand) for r in matching.candidates(o, 15.0, 2.0, cells=("cy",)).filter("t = 0").collect()]
+    assert sorted(got) == [(a, b) for a in range(-40, 240) for b in range(-40, 240) if abs(a - b) <= 60]
+
+
 @pytest.mark.parametrize("name", ["ranked_candidates_by_distance", "spatial_candidates"])
 def test_no_pair_is_shuffled_or_sorted(spark, name):
     """Above the join, where rows are pairs, nothing is exchanged, sorted or held in a window."""
